@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from millrace.llm.common import read_table
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.ngram_join import jaccard_components
+
+    docs = read_table(spark, sf_dir, "documents")
+    return jaccard_components(docs, shingle=4, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.line_dedup import dedup_lines
 
@@ -27,6 +34,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps now: Spark deletes them once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges ``(a, b)`` as rows ``(node, component)``, the
     component being its smallest node.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import bytekernels as bk
-from millrace.llm.common import connected, written
+from millrace.llm.common import connected, release, written
 
 #: Groups of more nodes than this are narrowed before pairs are formed, at most so many times.
 PAIR_GROUP = 32
@@ -34,6 +34,8 @@ NARROWINGS = 4
 #: Candidate documents up to this number are picked by a broadcast of their ids, more by a shuffled join.
 BROADCAST_IDS = 1_000_000
 _SEEDS = 8
+#: Signatures that a task holds before it passes them on.
+_HELD_ROWS = 300_000
 _WORD = ~bk.SPACE
 
 
@@ -54,7 +56,8 @@ class Bands:
         # Small bounds: one of three parts may differ, which makes signatures longer. Large bounds: whole partitions.
         self.k2 = np.where((self.k > 0) & (self.k < 16), 1, 0)
         self.need = self.k // (self.k2 + 1) + 1
-        self.n1 = np.where(self.k > 0, self.need + 2, 1)
+        # A few partitions more than needed, as some are without content.
+        self.n1 = np.where(self.k > 0, self.need + 2 + self.need // 32, 1)
         self.n2 = np.where(self.k2 > 0, 3, 1)
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
@@ -169,27 +172,31 @@ def _signed(n: int, percent: int, largest: int):
     bands = Bands(percent, largest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, keys, held = [], [], 0
         for batch in batches:
-            sigs, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, _, data, offsets in bk.slices(batch.column(0)):
                 h, size = shingle_sets(data, offsets, n)
                 row, sig = signatures(h, size, bands)
-                sigs.append(sig)
+                sigs.append(sig.view(np.int64))
                 keys.append(set_keys(h, size).view(np.int64)[row])
-            sig, key = np.concatenate(sigs), np.concatenate(keys)
-            sig, key, pivot, tied = _tied(sig.view(np.int64), key)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), pa.array(pivot, mask=~tied)], ["sig", "key", "pivot"])
+                held += len(sig)
+                if held >= _HELD_ROWS:
+                    yield _tied(np.concatenate(sigs), np.concatenate(keys))
+                    sigs, keys, held = [], [], 0
+        if held:
+            yield _tied(np.concatenate(sigs), np.concatenate(keys))
 
     return run
 
 
-def _tied(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+def _tied(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
-    new = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
-    once = new | np.append(True, key[1:] != key[:-1])[: len(sig)]
-    pivot = key[np.flatnonzero(new)][np.cumsum(new) - 1] if len(sig) else key
-    return sig[once], key[once], pivot[once], ~new[once]
+    new = np.append(True, sig[1:] != sig[:-1])
+    once = new | np.append(True, key[1:] != key[:-1])
+    pivot = key[new][np.cumsum(new) - 1]
+    columns = [pa.array(sig[once]), pa.array(key[once]), pa.array(pivot[once], mask=new[once])]
+    return pa.RecordBatch.from_arrays(columns, ["sig", "key", "pivot"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +288,10 @@ def jaccard_components(
     signed = source.select("text").mapInArrow(_signed(shingle, *bands_of), "sig long, key long, pivot long")
     spread = F.when(F.col("pivot").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "key"))
     members = written(
-        signed.withColumn("spread", spread).repartition("spread").drop("spread")
+        signed.repartition(spread)
         .sortWithinPartitions("sig", "key").mapInArrow(_met, "sig long, key long, pivot long")
     )
+    release(docs.sparkSession)
     stars = written(members.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
 
     # The sets of the candidates, from their first document's text.

@@ -7,6 +7,51 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read_table
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that the queries use: from the installed tokenizer files, else its usual place."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return TOKENIZER
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import bpe
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode(docs, tokenizer_path(), decode=True, ids=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import quality
+
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = quality.train(docs, labels.where(~held_out))
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import token_counts
+
+    return token_counts.limit_table(token_counts.length_histogram(read_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import toxicity
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("unwanted"), "toxic")
+    scored = toxicity.score(docs, toxicity.train(docs, labels, ("unwanted", "toxic")))
+    return scored.select("doc_id", "p_unwanted", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.ngram_join import jaccard_components
@@ -34,6 +79,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,

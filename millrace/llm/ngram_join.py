@@ -10,8 +10,8 @@ Only partitions with content give signatures. A set whose partitions with conten
 hash seed as well; of a similar pair either set with enough of them is sufficient, so only two poor sets need the next seed.
 
 Sets that share a signature are candidates. Equal sets are one node from the start. In a group of one signature, every set
-is first verified against the group's smallest one; what that leaves in different components is then verified pair by pair,
-after large groups were narrowed to sets that also share signatures of independent partitions.
+is first verified against the group's smallest one. What that leaves in different components is compared within the group,
+in blocks, by short sketches that can only overlook differences; the few pairs that pass are verified by their sets.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from millrace.llm import bytekernels as bk
 from millrace.llm.common import connected, release, written
 
-#: Groups of more nodes than this are narrowed before pairs are formed, at most so many times.
-PAIR_GROUP = 32
-NARROWINGS = 4
+#: Members of a group that one task compares; larger groups are compared block by block.
+BLOCK = 1024
+_SKETCH_MOST = 1 << 13
 #: Candidate documents up to this number are picked by a broadcast of their ids, more by a shuffled join.
 BROADCAST_IDS = 1_000_000
 _SEEDS = 8
@@ -98,6 +98,23 @@ def set_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, bk.mix((sums[at[1:]] - sums[at[:-1]]) ^ sizes.astype(np.uint64)), np.uint64(0))
 
 
+def sketch(h: np.ndarray, percent: int) -> bytes:
+    """One byte for each part of a set cut into a power of two of parts, about four for each difference allowed. Sets that
+    differ by ``d`` elements have sketches that differ in ``d`` bytes at most, and sketches of halved length are had by
+    adding up halves."""
+    k = 2 * len(h) * (100 - percent) // (100 + percent)
+    parts = min(_SKETCH_MOST, 1 << max(4, int(4 * k).bit_length()))
+    mixed = bk.mix(h ^ np.uint64(0x94D049BB133111EB))
+    sums = np.bincount((mixed & np.uint64(parts - 1)).astype(np.int64), ((mixed >> np.uint64(32)) & np.uint64(255)).astype(float), parts)
+    return (sums.astype(np.int64) & 255).astype(np.uint8).tobytes()
+
+
+def _folded(body: np.ndarray, parts: int) -> np.ndarray:
+    while len(body) > parts:
+        body = body[: len(body) // 2] + body[len(body) // 2 :]
+    return body
+
+
 def signatures(h: np.ndarray, sizes: np.ndarray, bands: Bands, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """PartEnum signatures of sets as ``(row, signature)``. Bands without room for a difference give none: such sets
     are similar only if equal. ``family`` picks independent partitions."""
@@ -223,8 +240,63 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _arrow("sig key pivot", sig[other], key[other], low[other])
 
 
+def _allowed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """By how many elements similar sets of these sizes differ at most; -1 where the sizes rule similarity out."""
+    fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    return np.where(fits, (a + b) * (100 - percent) // (100 + percent), -1)
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that their sketches do not rule out."""
+    left = sketches.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    right = sketches.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b = (np.asarray(batch.column(k)) for k in range(4))
+            most, good = _allowed(n_a, n_b, percent), np.zeros(len(a), bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                if most[i] >= 0:
+                    x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                    parts = min(len(x), len(y))
+                    good[i] = np.count_nonzero(_folded(x, parts) != _folded(y, parts)) <= most[i]
+            yield _arrow("a b", a[good], b[good])
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _compared(percent: int):
+    """In one block of a group: the pairs of different components that their sketches do not rule out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, comp, n, part = (table.column(c).to_numpy() for c in ("key", "comp", "n", "part"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        bodies = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch").combine_chunks()]
+        by_parts: dict[int, np.ndarray] = {}
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(part == low):
+            others = np.flatnonzero((part == high) & (comp != comp[i]) & ((key < key[i]) | (low != high)))
+            most = _allowed(n[others], n[i], percent)
+            others, most = others[most >= 0], most[most >= 0]
+            # A pair is compared at the shorter sketch; each length of the others at a time.
+            lengths = np.array([min(len(bodies[j]), len(bodies[i])) for j in others], np.int64)
+            for parts in np.unique(lengths):
+                if parts not in by_parts:
+                    by_parts[parts] = np.stack([_folded(x, parts) if len(x) >= parts else np.zeros(parts, np.uint8) for x in bodies])
+                mine = lengths == parts
+                own = by_parts[parts]
+                passed = others[mine][(own[others[mine]] != own[i]).sum(1) <= most[mine]]
+                found_a.append(np.maximum(key[passed], key[i]))
+                found_b.append(np.minimum(key[passed], key[i]))
+        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    return run
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of keys whose sets are similar enough."""
+    pairs = written(_sketched(pairs, sets, percent))
     left = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
 
@@ -248,23 +320,20 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, to: str) -> DataF
     return rows.join(named, column, "left").withColumn(to, F.coalesce(to, column))
 
 
-def _narrowed(members: DataFrame, sets: DataFrame, bands_of: tuple[int, int], family: int) -> DataFrame:
-    """Members ``(sig, key, comp)`` of large groups, regrouped by the signature together with each signature of
-    another family: similar members share at least one."""
-    bands = Bands(*bands_of)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                own = batch.slice(at, 500)
-                sig, key, comp = (np.asarray(own.column(k)) for k in range(3))
-                held = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column(3)]
-                h, size = np.concatenate([*held, np.zeros(0, np.uint64)]), np.array([len(x) for x in held], np.int64)
-                row, more = signatures(h, size, bands, family)
-                joint = bk.mix(more ^ bk.mix(sig[row].view(np.uint64)))
-                yield _arrow("sig key comp", joint, key[row], comp[row])
-
-    return members.join(sets, "key").select("sig", "key", "comp", "set").mapInArrow(run, "sig long, key long, comp long")
+def _left_open(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs to verify among members of one signature that lie in different components."""
+    named = _labelled(_labelled(members, labels, "key", "comp"), labels, "pivot", "pivot_comp")
+    split = named.where("comp <> pivot_comp").select("sig").distinct()
+    both = named.select("sig", "key", "comp").union(named.select("sig", F.col("pivot").alias("key"), F.col("pivot_comp").alias("comp")))
+    groups = written(both.join(split, "sig", "left_semi").distinct())
+    # Sets that share one signature often share many: groups of the same members are compared once.
+    same = groups.groupBy("sig").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(key))").alias("x"), F.expr("bit_xor(xxhash64(key, 1))").alias("y"))
+    chosen = same.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = groups.join(chosen, "sig").withColumn("part", F.pmod(F.xxhash64("key", F.lit(2)), "blocks").cast("int"))
+    rows = rows.join(sets.select("key", "n", "sketch"), "key")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    return rows.groupBy("sig", "low", "high").applyInArrow(_compared(percent), "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -305,43 +374,21 @@ def jaccard_components(
             for _, _, data, offsets in bk.slices(batch.column(0)):
                 h, size = shingle_sets(data, offsets, shingle)
                 at = np.concatenate([[0], np.cumsum(size)])
-                body = [h[at[k] : at[k + 1]].tobytes() for k in range(len(size))]
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(h, size).view(np.int64)), pa.array(body, pa.binary())], ["key", "set"])
+                own = [h[at[k] : at[k + 1]] for k in range(len(size))]
+                body, short = [x.tobytes() for x in own], [sketch(x, percent) for x in own]
+                columns = [pa.array(set_keys(h, size).view(np.int64)), pa.array(size), pa.array(short, pa.binary()), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "sketch", "set"])
 
     # A repeated id may bring other texts; each key stays once, and only if it was asked for.
-    sets = picked.select("text").mapInArrow(sets_of, "key long, set binary").dropDuplicates(["key"])
+    sets = picked.select("text").mapInArrow(sets_of, "key long, n long, sketch binary, set binary").dropDuplicates(["key"])
     sets = written(sets.join(wanted.select("key"), "key", "left_semi"))
 
     links = written(_verify(stars, sets, percent))
     labels = written(connected(links))
-    tested = stars
-
-    # What the stars left open: groups of one signature whose members lie in several components.
-    open_ = _labelled(_labelled(members, labels, "key", "comp"), labels, "pivot", "pivot_comp")
-    split = open_.where("comp <> pivot_comp").select("sig").distinct()
-    both = open_.select("sig", "key", "comp").union(open_.select("sig", F.col("pivot").alias("key"), F.col("pivot_comp").alias("comp")))
-    groups = written(both.join(split, "sig", "left_semi").distinct())
-    for family in range(1, NARROWINGS + 2):
-        if groups.isEmpty():
-            break
-        size = groups.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        size = written(size.select("sig", "size"))
-        ready = size if family > NARROWINGS else size.where(F.col("size") <= PAIR_GROUP)
-        now = groups.join(ready.select("sig"), "sig")
-        pairs = (
-            now.select("sig", F.col("key").alias("a"), F.col("comp").alias("ca"))
-            .join(now.select("sig", F.col("key").alias("b"), F.col("comp").alias("cb")), "sig")
-            .where("ca <> cb and a > b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = written(pairs)
-        found = written(_verify(pairs, sets, percent))
-        links = links.union(found)
-        if family > NARROWINGS:
-            break
-        tested = tested.union(pairs)
-        large = groups.join(size.where(F.col("size") > PAIR_GROUP).select("sig"), "sig", "left_semi")
-        groups = written(_narrowed(large, sets, bands_of, family).distinct()) if not large.isEmpty() else large.limit(0)
-    labels = written(connected(links))
+    open_ = _left_open(members, labels, sets, percent).join(stars, ["a", "b"], "left_anti")
+    more = written(_verify(written(open_), sets, percent))
+    if not more.isEmpty():
+        labels = written(connected(links.union(more)))
 
     named = written(_labelled(nodes.select("key", "first_id"), labels, "key", "comp"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))

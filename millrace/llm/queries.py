@@ -38,6 +38,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import secrets
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(spark)))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base_spans"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import token_counts
 
@@ -81,6 +92,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_secrets": op3_secrets,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,

@@ -71,6 +71,18 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, shingle=4, percent=85).withColumnRenamed("id", "doc_id")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.html_extract import extract_pages
+
+    return extract_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.line_dedup import dedup_lines
 
@@ -96,6 +108,8 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_html_extract": op8_html_extract,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -106,6 +120,15 @@ _KEY = _LOWER.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
+    # By brute force over all pairs of different vectors; only for tables as small as the SQL check's.
+    "op7_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS rn, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        fine AS (SELECT * FROM v WHERE len(e) > 0 AND len([c for c in e if c IS NULL OR NOT isfinite(c)]) = 0 AND list_sum([abs(c) for c in e]) > 0),
+        links AS (SELECT a.rn AS a, b.rn AS b FROM fine a JOIN fine b ON a.rn <> b.rn AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (SELECT rn AS a, rn AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        comp AS (SELECT a AS rn, min(w.vec_id) AS component_id FROM reach JOIN v w ON w.rn = b GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE a = v.rn) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN comp USING (rn)""",
     "op9_line_dedup": f"""
         WITH docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
         split AS (SELECT rn, doc_id, string_split(text, chr(10)) AS parts FROM docs),

@@ -11,7 +11,8 @@ hash seed as well; of a similar pair either set with enough of them is sufficien
 
 Sets that share a signature are candidates. Equal sets are one node from the start. In a group of one signature, every set
 is first verified against the group's smallest one. What that leaves in different components is compared within the group,
-in blocks, by short sketches that can only overlook differences; the few pairs that pass are verified by their sets.
+in blocks, by short sketches that can only overlook differences; members with a partner left are compared by their sets. Pairs
+never leave a task: only links that join components do.
 """
 
 from __future__ import annotations
@@ -266,30 +267,47 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _compared(percent: int):
-    """In one block of a group: the pairs of different components that their sketches do not rule out."""
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    place = np.searchsorted(x, y)
+    both = int((x[np.minimum(place, len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _compared(percent: int, exact: bool):
+    """Compares one block of a group. First pass: the members for which the sketches leave a partner in another component
+    (a row for each at most). Second pass, over those members and with their sets (``exact``): links that join components
+    of the block, one for each join."""
 
     def run(table: pa.Table) -> pa.Table:
         key, comp, n, part = (table.column(c).to_numpy() for c in ("key", "comp", "n", "part"))
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        bodies = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch").combine_chunks()]
+        views = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in table.column(c).combine_chunks()]
+        bodies, sets = views("sketch", np.uint8), views("set", np.uint64) if exact else []
         by_parts: dict[int, np.ndarray] = {}
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        label, open_, links = np.unique(comp, return_inverse=True)[1], np.zeros(len(key), bool), []
+        lengths = np.array([len(x) for x in bodies])
         for i in np.flatnonzero(part == low):
-            others = np.flatnonzero((part == high) & (comp != comp[i]) & ((key < key[i]) | (low != high)))
+            others = np.flatnonzero((part == high) & (label != label[i]) & ((key < key[i]) | (low != high)))
             most = _allowed(n[others], n[i], percent)
             others, most = others[most >= 0], most[most >= 0]
-            # A pair is compared at the shorter sketch; each length of the others at a time.
-            lengths = np.array([min(len(bodies[j]), len(bodies[i])) for j in others], np.int64)
-            for parts in np.unique(lengths):
+            # A pair is compared at the shorter of its sketches.
+            shorter = np.minimum(lengths[others], lengths[i])
+            for parts in np.unique(shorter):
                 if parts not in by_parts:
                     by_parts[parts] = np.stack([_folded(x, parts) if len(x) >= parts else np.zeros(parts, np.uint8) for x in bodies])
-                mine = lengths == parts
-                own = by_parts[parts]
+                own, mine = by_parts[parts], shorter == parts
                 passed = others[mine][(own[others[mine]] != own[i]).sum(1) <= most[mine]]
-                found_a.append(np.maximum(key[passed], key[i]))
-                found_b.append(np.minimum(key[passed], key[i]))
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+                if not exact:
+                    open_[passed] = True
+                    open_[i] |= len(passed) > 0
+                    continue
+                for j in passed:
+                    if label[j] != label[i] and _similar(sets[i], sets[j], percent):
+                        links.append((max(key[i], key[j]), min(key[i], key[j])))
+                        label[label == label[j]] = label[i]
+        if exact:
+            return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+        return table.select(["sig", "low", "high", "part", "key", "comp"]).filter(pa.array(open_))
 
     return run
 
@@ -305,10 +323,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             good = np.zeros(len(a), bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                place = np.searchsorted(x, y)
-                both = int((x[np.minimum(place, len(x) - 1)] == y).sum())
-                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                good[i] = _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
             yield _arrow("a b", a[good], b[good])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
@@ -321,7 +336,7 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, to: str) -> DataF
 
 
 def _left_open(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs to verify among members of one signature that lie in different components."""
+    """Links among members of one signature that lie in different components."""
     named = _labelled(_labelled(members, labels, "key", "comp"), labels, "pivot", "pivot_comp")
     split = named.where("comp <> pivot_comp").select("sig").distinct()
     both = named.select("sig", "key", "comp").union(named.select("sig", F.col("pivot").alias("key"), F.col("pivot_comp").alias("comp")))
@@ -333,7 +348,10 @@ def _left_open(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     rows = rows.join(sets.select("key", "n", "sketch"), "key")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    return rows.groupBy("sig", "low", "high").applyInArrow(_compared(percent), "a long, b long").distinct()
+    by = ("sig", "low", "high")
+    few = rows.groupBy(*by).applyInArrow(_compared(percent, False), "sig long, low int, high int, part int, key long, comp long")
+    few = written(few).join(sets, "key")
+    return few.groupBy(*by).applyInArrow(_compared(percent, True), "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -385,8 +403,7 @@ def jaccard_components(
 
     links = written(_verify(stars, sets, percent))
     labels = written(connected(links))
-    open_ = _left_open(members, labels, sets, percent).join(stars, ["a", "b"], "left_anti")
-    more = written(_verify(written(open_), sets, percent))
+    more = written(_left_open(members, labels, sets, percent))
     if not more.isEmpty():
         labels = written(connected(links.union(more)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from operator import eq
 
 import numpy as np
 
@@ -15,6 +16,9 @@ TOKEN_MEMORY = 200_000
 
 def words_and_marks(token: str) -> list[str]:
     """The lower-case words of a token and a name for what else it is made of."""
+    plain = token[:-1] if token[-1:] in (".", ",") else token
+    if plain.isalpha():  # most tokens
+        return ["w:" + plain.lower(), "s:upper"] if len(token) > 1 and token.isupper() else ["w:" + plain.lower()]
     if token == _REPEAT:
         return [token]
     words = _LETTERS.findall(token)
@@ -32,7 +36,10 @@ def words_and_marks(token: str) -> list[str]:
 def with_beginnings(token: str) -> list[str]:
     """``words_and_marks`` and the beginnings of three to six letters of each word."""
     out = words_and_marks(token)
-    return out + [f"b:{w[2 : 2 + k]}" for w in out if w[0] == "w" for k in range(3, 7) if len(w) - 2 > k]
+    for w in out[:]:
+        if w[0] == "w":
+            out += ["b:" + w[2:k] for k in range(5, min(9, len(w)))]
+    return out
 
 
 class Numbered:
@@ -63,7 +70,7 @@ class Numbered:
     def distinct(self, text: str | None) -> list[int]:
         """The numbers of the distinct parts; the repeat counts from a fifth of the tokens on."""
         tokens = (text or "").split()
-        same = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
+        same = sum(map(eq, tokens, tokens[1:]))
         found: set[int] = set()
         for t in set(tokens):
             if got := self._of(t):

@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from millrace.llm.common import written
 from millrace.llm.features import Numbered, flattened, texts_of, with_beginnings
 
-MAX_LABELLED = 12_000
-FEATURES = 3_000
+MAX_LABELLED = 8_000
+FEATURES = 1_000
 MIN_DOCS = 4
-FOLDS = 5
+FOLDS = 4
 
 
 def labelled_sample(labels: DataFrame, id_col: str, max_rows: int) -> DataFrame:
@@ -48,7 +48,7 @@ class Linear:
         z = sums[ends[1:]] - sums[ends[:-1]] + dense @ self.d + self.b
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def fit(self, flat: np.ndarray, ends: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 250) -> Linear:
+    def fit(self, flat: np.ndarray, ends: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 150) -> Linear:
         row, n = np.repeat(np.arange(len(y)), np.diff(ends)), max(1, len(y))
         share = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
         self.b = float(np.log(share / (1 - share)))

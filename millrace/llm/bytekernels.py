@@ -96,8 +96,8 @@ GRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1
 
 def gram_hash(word_hash: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` consecutive words, by the run's first word."""
-    count = len(word_hash) - n + 1
-    out = np.zeros(max(0, count), np.uint64)
+    count = max(0, len(word_hash) - n + 1)
+    out = np.zeros(count, np.uint64)
     for k in range(n):
         out += word_hash[k : k + count] * GRAM[k]
     return mix(out)

@@ -45,3 +45,48 @@ def jaccard_components(rows, n, percent):
             links.append((a, b))
     named = components(sets, links)
     return {i: (len(s), named[i]) for i, s in sets.items()}
+
+
+def dedup_lines(rows, min_docs):
+    """[(kept text, lines, dropped)] for texts."""
+    split = [(t or "").split("\n") for t in rows]
+    key = lambda line: line.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(LOWER)
+    seen = defaultdict(set)
+    for i, lines in enumerate(split):
+        for line in lines:
+            seen[key(line)].add(i)
+    out = []
+    for lines in split:
+        kept = [x for x in lines if not key(x) or len(seen[key(x)]) < min_docs]
+        out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def windows(text, items, size):
+    """(words, words hit, found items) of a text; items are (id, text)."""
+    words = WORD.findall((text or "").translate(LOWER))
+    hit, found = set(), set()
+    for name, body in items:
+        own = WORD.findall((body or "").translate(LOWER))
+        n = min(size, len(own))
+        for k in range(len(own) - n + 1 if n else 0):
+            for at in range(len(words) - n + 1):
+                if words[at : at + n] == own[k : k + n]:
+                    hit.update(range(at, at + n))
+                    found.add(str(name))
+    return len(words), len(hit), sorted(found)
+
+
+SECRETS = (
+    ("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 1, 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
+)
+
+
+def base_secrets(text):
+    spans = [(m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(SECRETS) for m in p.finditer(text or "") if len(m[g]) >= least]
+    return [(s, SECRETS[k][0], e) for s, k, e in sorted(spans)]

@@ -96,7 +96,7 @@ def rle(payload: Column | str) -> Column:
             runs = F.zip_with(at, F.slice(ends, F.lit(1), F.size(at)), lambda s, e: F.struct((e - s).alias("n"), F.get(b, s).alias("b")))
             return F.unhex(F.array_join(F.transform(runs, _pairs), ""))
 
-        return F.when(n > 0, let(places, joined)).otherwise(F.unhex(F.lit("")))
+        return F.when(n > 0, let(places, joined)).when(n == 0, F.unhex(F.lit("")))
 
     return let(byte_array(payload), body)
 

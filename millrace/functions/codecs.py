@@ -114,7 +114,7 @@ def _unsnappy(data: bytes, most: int) -> bytes:
         raise Failed("UnexpectedEnd" if len(data) < 5 else "Corrupt")
     if size > most:
         raise Failed("OutputLimitExceeded")
-    if size > 256 * (len(data) - k):
+    if size > 256 * (len(data) - k) or (not size and len(data) > k + 1):
         raise Failed("Corrupt")
     try:
         return pa.Codec("snappy").decompress(data, size).to_pybytes() if size else b""

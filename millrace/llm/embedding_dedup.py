@@ -2,7 +2,9 @@
 
 Unit vectors are dealt into coarse inverted lists; the residual to the list's centre is cut into subspaces and each cut is
 replaced by the nearest of a few codewords. Every vector is also a query. It probes each list whose border with its own list
-is near enough that a linked vector may lie beyond it. In a list, distances between the query and the codes are sums of table
+is so near that a linked vector may lie beyond it: linked vectors differ by a small step, and of a step in any direction only
+the part across the border counts, with a standard deviation of the step's length over the square root of the width
+(``probe_sigmas`` of them are allowed for; with ``sqrt(width)`` of them or more nothing is left to chance). In a list, distances between the query and the codes are sums of table
 entries (asymmetric: the query is not quantised); with the known coding error of each vector they bound the true distance, so no
 linked vector of a probed list is lost. What passes is ranked again by the exact cosine, in double precision.
 
@@ -152,6 +154,7 @@ def _met(held, width: int, cosine: float):
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, max_sample: int = MAX_SAMPLE,
+    probe_sigmas: float = 3.0,
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for each row of ``vectors``.
 
@@ -160,7 +163,8 @@ def near_duplicates(
     two ids are equal. Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Shorter
     vectors are read as if filled up with zeros. Rows that repeat an id keep their rows.
     """
-    v = F.col(vector_col).cast("array<double>")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    v = F.col(vector_col).cast(kind)
     fine = (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, v).alias("v")).withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     spark = vectors.sparkSession
@@ -174,7 +178,7 @@ def near_duplicates(
     x = _unit(_matrix(sample.column(0).combine_chunks(), width)) if len(sample) else np.eye(1, width)
     index = fit(x, max(1, min(int(n**0.5), len(x) // 30, 512)))
     held = spark.sparkContext.broadcast(index)
-    radius = float(np.sqrt(2 - 2 * cosine)) + 1e-7
+    across = float(np.sqrt(2 - 2 * cosine)) * min(1.0, probe_sigmas / width**0.5) + 1e-7
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +186,7 @@ def near_duplicates(
                 own = batch.slice(at, 2000)
                 u = _unit(_matrix(own.column(1), width))
                 home, codes, error = held.value.encode(u)
-                who, lists = held.value.probes(u, home, radius)
+                who, lists = held.value.probes(u, home, across)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(u)))])
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns, pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
@@ -190,7 +194,7 @@ def near_duplicates(
                     ["key", "v", "weight", "home", "codes", "error", "probes"],
                 )
 
-    coded = written(nodes.select("key", "v", "weight").mapInArrow(placed, "key long, v array<double>, weight long, home int, codes binary, error double, probes array<int>"))
+    coded = written(nodes.select("key", "v", "weight").mapInArrow(placed, f"key long, v {kind}, weight long, home int, codes binary, error double, probes array<int>"))
     # Both sides of a list are cut into blocks by its measured size; each block of members meets each block of queries.
     members = coded.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("member_blocks"))
     asking = coded.select("key", F.explode("probes").alias("list"))

@@ -189,13 +189,14 @@ class TestEmbeddings:
         rows = [(base[k % 40] + (0.02 + 0.05 * (k % 3)) * rng.normal(size=16)).tolist() for k in range(300)] + [base[0].tolist()] * 5
         rows += [None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [1e300] * 16, [1e-300] * 16]
         df = spark.createDataFrame([(i, v, "x") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, key string")
-        got = {r.id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
+        got = {r.id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, probe_sigmas=9).collect()}
         good = {i: embedding_dedup._unit(np.array([v]))[0] for i, v in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
         links = [(a, b) for a in good for b in good if a < b and good[a] @ good[b] >= 0.95]
         named = brute.components(range(len(rows)), links)
         want_n = {i: sum(i in p for p in links) for i in range(len(rows))}
         assert {i: (want_n[i], named[i], named[i] == i) for i in range(len(rows))} == got
         assert len(links) > 200
+        assert sum(r.n_links for r in embedding_dedup.near_duplicates(df).collect()) >= 0.9 * 2 * len(links)
 
     def test_empty_table(self, spark):
         df = spark.createDataFrame([], "vec_id long, embedding array<float>")

@@ -18,6 +18,40 @@ MAGIC = (
 )
 
 
+#: The code lengths in bits of RFC 7541's string Huffman code, for the bytes 0 to 255, as (length, bytes).
+H2_LENGTHS = (
+    (5, "30 31 32 61 63 65 69 6f 73 74"),
+    (6, "20 25 2d 2e 2f 33 34 35 36 37 38 39 3d 41 5f 62 64 66 67 68 6c 6d 6e 70 72 75"),
+    (7, "3a 42 43 44 45 46 47 48 49 4a 4b 4c 4d 4e 4f 50 51 52 53 54 55 56 57 59 6a 6b 71 76 77 78 79 7a"),
+    (8, "26 2a 2c 3b 58 5a"),
+    (10, "21 22 28 29 3f"),
+    (11, "27 2b 7c"),
+    (12, "23 3e"),
+    (13, "00 24 40 5b 5d 7e"),
+    (14, "5e 7d"),
+    (15, "3c 60 7b"),
+    (19, "5c c3 d0"),
+    (20, "80 82 83 a2 b8 c2 e0 e2"),
+    (21, "99 a1 a7 ac b0 b1 b3 d1 d8 d9 e3 e5 e6"),
+    (22, "81 84 85 86 88 92 9a 9c a0 a3 a4 a9 aa ad b2 b5 b9 ba bb bd be c4 c6 e4 e8 e9"),
+    (23, "01 87 89 8a 8b 8c 8d 8f 93 95 96 97 98 9b 9d 9e a5 a6 a8 ae af b4 b6 b7 bc bf c5 e7 ef"),
+    (24, "09 8e 90 91 94 9f ab ce d7 e1 ec ed"),
+    (25, "c7 cf ea eb"),
+    (26, "c0 c1 c8 c9 ca cd d2 d5 da db ee f0 f2 f3 ff"),
+    (27, "cb cc d3 d4 d6 dd de df f1 f4 f5 f6 f7 f8 fa fb fc fd fe"),
+    (28, "02 03 04 05 06 07 08 0b 0c 0e 0f 10 11 12 13 14 15 17 18 19 1a 1b 1c 1d 1e 1f 7f dc f9"),
+    (30, "0a 0d 16"),
+)
+
+
+def h2_lengths() -> list[int]:
+    out = [0] * 256
+    for bits, names in H2_LENGTHS:
+        for b in names.split():
+            out[int(b, 16)] = bits
+    return out
+
+
 def _name(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -75,30 +109,81 @@ def delta(payload: Column | str, distance: int = 1) -> Column:
     return let(byte_array(payload), body)
 
 
-def _pairs(run: Column) -> Column:
-    byte = F.lpad(F.hex(run["b"]), 2, "0")
-    rest = F.when(run["n"] % 255 > 0, F.concat(F.lpad(F.hex(run["n"] % 255), 2, "0"), byte)).otherwise("")
-    return F.concat(F.repeat(F.concat(F.lit("FF"), byte), F.floor(run["n"] / 255).cast("int")), rest)
+def _runs(payload: Column | str, most: int = 255) -> Column:
+    """The runs of equal bytes as hexadecimal strings, longer ones cut after ``most`` bytes."""
+    return F.regexp_extract_all(F.hex(_name(payload)), F.lit(rf"(..)\1{{0,{most - 1}}}"), F.lit(0))
+
+
+def _count(run: Column) -> Column:
+    return F.lpad(F.hex((F.length(run) / 2).cast("int")), 2, "0")
 
 
 def rle(payload: Column | str) -> Column:
     """``[count][byte]`` pairs, counts from 1 to 255; longer runs take several pairs."""
+    return F.unhex(F.array_join(F.transform(_runs(payload), lambda r: F.concat(_count(r), F.substring(r, 1, 2))), ""))
 
-    def body(b: Column) -> Column:
-        n = F.size(b)
-        before = F.slice(F.concat(F.array(F.lit(-1)), b), F.lit(1), n)
-        starts = F.zip_with(b, before, lambda x, y: x != y)
-        # The places where a run begins: a place is kept if its byte differs from the one before.
-        places = F.filter(F.transform(starts, lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
 
-        def joined(at: Column) -> Column:
-            ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(n))
-            runs = F.zip_with(at, F.slice(ends, F.lit(1), F.size(at)), lambda s, e: F.struct((e - s).alias("n"), F.get(b, s).alias("b")))
-            return F.unhex(F.array_join(F.transform(runs, _pairs), ""))
+def rle90(payload: Column | str) -> Column:
+    """``byte 90 n`` for runs of three and more (``n`` copies in all), the byte itself else; ``90 00`` is the byte 0x90."""
 
-        return F.when(n > 0, let(places, joined)).when(n == 0, F.unhex(F.lit("")))
+    def one(r: Column) -> Column:
+        byte = F.substring(r, 1, 2)
+        literal = F.when(byte == "90", "9000").otherwise(byte)
+        return F.when(F.length(r) >= 6, F.concat(literal, F.lit("90"), _count(r))).otherwise(F.repeat(literal, (F.length(r) / 2).cast("int")))
 
-    return let(byte_array(payload), body)
+    return F.unhex(F.array_join(F.transform(_runs(payload), one), ""))
+
+
+def unrle90(payload: Column | str) -> Column:
+    """``STRUCT<data, error>``: ``Corrupt`` for a repeat without a byte before it, ``UnexpectedEnd`` for a 0x90 at the end."""
+
+    def body(digits: Column) -> Column:
+        pattern = r"(9000|(?!90)..)((?:90(?!00)..)*)"
+        part = lambda k: F.regexp_extract_all(digits, F.lit(pattern), F.lit(k))
+        # Each repeat adds its count less one; as many times as it stands there.
+        repeats = lambda r: F.aggregate(F.regexp_extract_all(r, F.lit("90(..)"), F.lit(1)), F.lit(1), lambda n, x: n + F.conv(x, 16, 10).cast("int") - 1)
+        data = F.unhex(F.array_join(F.zip_with(part(1), part(2), lambda b, r: F.repeat(F.substring(b, 1, 2), repeats(r))), ""))
+        read = F.aggregate(part(0), F.lit(0), lambda n, x: n + F.length(x))
+        error = F.when(digits.rlike("^90(?!00)..") , "Corrupt").when(read < F.length(digits), "UnexpectedEnd")
+        return F.when(digits.isNotNull(), F.struct(F.when(error.isNull(), data).alias("data"), error.alias("error")))
+
+    return let(F.hex(_name(payload)), body)
+
+
+def packbits(payload: Column | str) -> Column:
+    """Runs of 3 to 128 bytes as ``257 - n, byte``; stretches of up to 128 other bytes as ``n - 1, bytes``."""
+    pieces = F.regexp_extract_all(F.hex(_name(payload)), F.lit(r"(..)\1{2,127}|(?:(?!(..)\2\2)..){1,128}"), F.lit(0))
+
+    def one(piece: Column) -> Column:
+        n = (F.length(piece) / 2).cast("int")
+        run = piece.rlike(r"^(..)\1\1")
+        control = F.lpad(F.hex(F.when(run, F.lit(257) - n).otherwise(n - 1)), 2, "0")
+        return F.concat(control, F.when(run, F.substring(piece, 1, 2)).otherwise(piece))
+
+    return F.unhex(F.array_join(F.transform(pieces, one), ""))
+
+
+def h2_codes() -> list[str]:
+    """The bits of RFC 7541's string Huffman code for each byte: canonical over the code lengths."""
+    lengths, out, code, width = h2_lengths(), [""] * 256, 0, 0
+    for n, b in sorted((n, b) for b, n in enumerate(lengths)):
+        code <<= n - width
+        width = n
+        out[b] = f"{code:0{n}b}"
+        code += 1
+    return out
+
+
+def h2_huffman(payload: Column | str) -> Column:
+    """A payload in RFC 7541's string Huffman code, filled up with ones."""
+    table = F.split(F.lit(",".join(h2_codes())), ",")
+
+    def body(bits: Column) -> Column:
+        whole = F.concat(bits, F.substring(F.lit("1111111"), F.lit(1), F.pmod(-F.length(bits), F.lit(8)).cast("int")))
+        octets = F.regexp_extract_all(whole, F.lit("[01]{8}"), F.lit(0))
+        return F.unhex(F.array_join(F.transform(octets, lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), ""))
+
+    return let(F.array_join(F.transform(byte_array(payload), lambda b: F.get(table, b)), ""), body)
 
 
 def unrle(payload: Column | str) -> Column:

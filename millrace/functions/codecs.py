@@ -122,6 +122,22 @@ def _unsnappy(data: bytes, most: int) -> bytes:
         raise Failed("Corrupt") from e
 
 
+def _unpackbits(data: bytes, most: int) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n, at = data[at], at + 1
+        if n == 128:
+            continue
+        take = n + 1 if n < 128 else 1
+        if at + take > len(data):
+            raise Failed("UnexpectedEnd")
+        out += data[at : at + take] * (1 if n < 128 else 257 - n)
+        at += take
+        if len(out) > most:
+            raise Failed("OutputLimitExceeded")
+    return bytes(out)
+
+
 def _arrow_stream_out(name: str):
     def run(data: bytes, level: int | None) -> bytes:
         sink = pa.BufferOutputStream()
@@ -162,6 +178,7 @@ DECODERS: dict[str, Callable[[bytes, int], bytes]] = {
     "brotli": _arrow_stream("brotli"),
     "snappy": _unsnappy,
     "lz4-frame": _arrow_stream("lz4"),
+    "packbits": _unpackbits,
 }
 
 

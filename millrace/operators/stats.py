@@ -5,41 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.bytes import byte_array
-
-#: The code lengths in bits of RFC 7541's string Huffman code, for the bytes 0 to 255, as (length, bytes).
-H2_LENGTHS = (
-    (5, "30 31 32 61 63 65 69 6f 73 74"),
-    (6, "20 25 2d 2e 2f 33 34 35 36 37 38 39 3d 41 5f 62 64 66 67 68 6c 6d 6e 70 72 75"),
-    (7, "3a 42 43 44 45 46 47 48 49 4a 4b 4c 4d 4e 4f 50 51 52 53 54 55 56 57 59 6a 6b 71 76 77 78 79 7a"),
-    (8, "26 2a 2c 3b 58 5a"),
-    (10, "21 22 28 29 3f"),
-    (11, "27 2b 7c"),
-    (12, "23 3e"),
-    (13, "00 24 40 5b 5d 7e"),
-    (14, "5e 7d"),
-    (15, "3c 60 7b"),
-    (19, "5c c3 d0"),
-    (20, "80 82 83 a2 b8 c2 e0 e2"),
-    (21, "99 a1 a7 ac b0 b1 b3 d1 d8 d9 e3 e5 e6"),
-    (22, "81 84 85 86 88 92 9a 9c a0 a3 a4 a9 aa ad b2 b5 b9 ba bb bd be c4 c6 e4 e8 e9"),
-    (23, "01 87 89 8a 8b 8c 8d 8f 93 95 96 97 98 9b 9d 9e a5 a6 a8 ae af b4 b6 b7 bc bf c5 e7 ef"),
-    (24, "09 8e 90 91 94 9f ab ce d7 e1 ec ed"),
-    (25, "c7 cf ea eb"),
-    (26, "c0 c1 c8 c9 ca cd d2 d5 da db ee f0 f2 f3 ff"),
-    (27, "cb cc d3 d4 d6 dd de df f1 f4 f5 f6 f7 f8 fa fb fc fd fe"),
-    (28, "02 03 04 05 06 07 08 0b 0c 0e 0f 10 11 12 13 14 15 17 18 19 1a 1b 1c 1d 1e 1f 7f dc f9"),
-    (30, "0a 0d 16"),
-)
-
-
-def h2_lengths() -> list[int]:
-    out = [0] * 256
-    for bits, names in H2_LENGTHS:
-        for b in names.split():
-            out[int(b, 16)] = bits
-    return out
-
+from millrace.functions.bytes import byte_array, h2_lengths
 
 def byte_rows(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """``(id, byte, n)``: how often each byte occurs in each row's payload. Counting is combined before the shuffle."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import bytes as fb
-from millrace.functions.codecs import DECODERS, decode, encode
+from millrace.functions.codecs import ENCODERS, decode, encode
 from millrace.operators import report, stats, transforms
 from millrace.plans import registry
 
@@ -92,6 +92,24 @@ def unrle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.md5(back["data"]).alias("digest"), F.coalesce(back["error"], F.lit("")).alias("error"))
 
 
+def roundtrip_rle90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = fb.unrle90(fb.rle90("raw"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(back["data"]).alias("digest"), F.coalesce(back["error"], F.lit("")).alias("error"))
+
+
+def roundtrip_packbits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = _documents(spark, sf_dir).select("doc_id", decode(fb.packbits("raw"), "packbits").alias("back"))
+    return back.select("doc_id", F.md5("back.data").alias("digest"), F.coalesce("back.error", F.lit("")).alias("error"))
+
+
+def rle90_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.length(fb.rle90("raw")).cast("long").alias("rle90_bytes"))
+
+
+def h2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", F.hex(fb.h2_huffman("raw")).alias("h2"))
+
+
 def _delta(distance: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _documents(spark, sf_dir).select("doc_id", F.md5(F.hex(fb.delta("raw", distance))).alias("delta_md5"))
@@ -148,7 +166,7 @@ def _delta_sql(d: int) -> str:
 
 QUERIES = {
     "flagship_report": flagship_report,
-    **{f"roundtrip_{c.replace('-', '_')}": _round_trip(c) for c in DECODERS},
+    **{f"roundtrip_{c.replace('-', '_')}": _round_trip(c) for c in ENCODERS},
     "roundtrip_gzip_level1": _round_trip("gzip", 1),
     "roundtrip_zstd_level19": _round_trip("zstd", 19),
     "detect_encoded": detect_encoded,
@@ -163,6 +181,10 @@ QUERIES = {
     "rle": rle,
     "unrle": unrle,
     "rle_rollup": rle_rollup,
+    "roundtrip_rle90": roundtrip_rle90,
+    "roundtrip_packbits": roundtrip_packbits,
+    "rle90_size": rle90_size,
+    "h2_huffman": h2_huffman,
     "delta_1": _delta(1),
     "delta_4": _delta(4),
     "undelta": undelta,
@@ -191,6 +213,15 @@ ORACLES = {
     "rle_rollup": f"""WITH {_RUNS}, sizes AS (SELECT doc_id, sum(len(p)) // 2 AS enc FROM pairs GROUP BY doc_id)
         SELECT lang, source, count(*) AS n_rows, CAST(sum(strlen(text)) AS BIGINT) AS raw_bytes, CAST(sum(coalesce(enc, 0)) AS BIGINT) AS encoded_bytes
         FROM documents LEFT JOIN sizes USING (doc_id) GROUP BY ROLLUP (lang, source)""",
+    "rle90_size": f"""WITH {_RUNS}, pieces AS (SELECT doc_id, b, unnest(list_concat([255 for x in range(n // 255)], CASE WHEN n % 255 > 0 THEN [n % 255] ELSE [] END)) AS m FROM runs)
+        SELECT doc_id, CAST(sum((CASE WHEN b = 144 THEN 2 ELSE 1 END) * (CASE WHEN m >= 3 THEN 1 ELSE m END) + CASE WHEN m >= 3 THEN 2 ELSE 0 END) AS BIGINT) AS rle90_bytes FROM pieces GROUP BY doc_id""",
+    "h2_huffman": """WITH codes(b, bits) AS (VALUES """ + ", ".join(f"({b}, '{c}')" for b, c in enumerate(fb.h2_codes())) + """),
+        bytes AS (SELECT event_id, i, CAST('0x' || x AS INT) AS b FROM (SELECT event_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT event_id, regexp_extract_all(hex(encode(props)), '..') AS l FROM events))),
+        joined AS (SELECT event_id, string_agg(bits, '' ORDER BY i) AS bits FROM bytes JOIN codes USING (b) GROUP BY event_id),
+        full_ AS (SELECT event_id, bits || repeat('1', CAST((8 - len(bits) % 8) % 8 AS INT)) AS bits FROM joined)
+        SELECT event_id, string_agg(printf('%02X', v), '' ORDER BY k) AS h2 FROM (
+            SELECT event_id, k, CAST(list_sum([CAST(substr(bits, 8 * k + j, 1) AS INT) * CAST(pow(2, 8 - j) AS INT) for j in range(1, 9)]) AS INT) AS v
+            FROM (SELECT event_id, bits, unnest(range(len(bits) // 8)) AS k FROM full_)) GROUP BY event_id""",
     "delta_1": _delta_sql(1),
     "delta_4": _delta_sql(4),
     "undelta": "SELECT event_id, md5(props) AS digest FROM events",

@@ -22,12 +22,12 @@ NAMES = (
     ("delta", "delta"), ("crunch", "arc"), ("squeeze", "sqz"), ("squashed", "arc"),
 )
 #: Codecs whose rows this library encodes and decodes.
-WORKING = ("rle", "delta", "mtf", "bwt", "deflate", "zlib", "gzip", "lzma", "xz", "lzma2", "zstd", "brotli", "lz4-frame", "snappy", "bzip2")
+WORKING = ("rle", "rle90", "packbits", "delta", "mtf", "bwt", "deflate", "zlib", "gzip", "lzma", "xz", "lzma2", "zstd", "brotli", "lz4-frame", "snappy", "bzip2")
 
 
 def registry(spark: SparkSession) -> DataFrame:
     """``(position, name, extension, can_encode, can_decode)``; a handful of rows, so joins with it are broadcast."""
-    rows = [(k, n, e, n in WORKING, n in WORKING) for k, (n, e) in enumerate(NAMES)]
+    rows = [(k, n, e, n in WORKING or n == "h2-huffman", n in WORKING) for k, (n, e) in enumerate(NAMES)]
     return spark.createDataFrame(rows, "position int, name string, extension string, can_encode boolean, can_decode boolean")
 
 

@@ -41,26 +41,28 @@ _WORD = ~bk.SPACE
 
 
 class Bands:
-    """Size bands and the partition numbers of each, for a threshold of ``percent`` hundredths."""
+    """Size bands and the partition numbers of each, for a threshold of ``percent`` hundredths. The instance of a band
+    holds the pairs whose smaller set lies in it; the larger one lies in it or in the next."""
 
     def __init__(self, percent: int, largest: int):
-        low, self.starts = 1, [1]
-        ends = []
-        while low <= largest:
+        low, self.starts, ends, self.percent = 1, [], [], percent
+        while low <= largest or len(ends) < 2:
+            self.starts.append(low)
             ends.append(low * 100 // percent)
             low = ends[-1] + 1
-            self.starts.append(low)
-        ends.append(low * 100 // percent)
-        self.starts_at = np.array(self.starts)
-        # |A|+|B| is at most twice the band's end; the symmetric difference then at most k.
-        self.k = np.array([2 * e * (100 - percent) // (100 + percent) for e in ends])
+        self.starts_at, self.ends = np.array(self.starts), np.array(ends)
+        self.k = self.differ(self.ends, self.ends * 100 // percent)
         # Small bounds: one of three parts may differ, which makes signatures longer. Large bounds: whole partitions.
         self.k2 = np.where((self.k > 0) & (self.k < 16), 1, 0)
-        self.need = self.k // (self.k2 + 1) + 1
-        # A few partitions more than needed, as some are without content.
-        self.n1 = np.where(self.k > 0, self.need + 2 + self.need // 32, 1)
+        need = self.k // (self.k2 + 1) + 1
+        # More partitions than needed, as about one in fifty is without content.
+        self.n1 = np.where(self.k > 0, need + 2 + np.ceil(need / 50 + 3 * np.sqrt(need / 50)).astype(int), 1)
         self.n2 = np.where(self.k2 > 0, 3, 1)
 
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """By how many elements similar sets of these sizes differ at most."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
+
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts_at, sizes, "right") - 1
 
@@ -121,9 +123,13 @@ def signatures(h: np.ndarray, sizes: np.ndarray, bands: Bands, family: int = 0)
     are similar only if equal. ``family`` picks independent partitions."""
     rows, out = [], []
     own = bands.band(sizes)
-    for step in (0, 1):
-        instance = own + step
-        left = np.flatnonzero((sizes > 0) & (bands.k[np.minimum(instance, len(bands.k) - 1)] > 0))
+    for step in (0, -1):
+        instance = np.maximum(own + step, 0)
+        # As the smaller set the partner may be larger by the threshold, as the larger one it lies in the band before.
+        other = sizes * 100 // bands.percent if not step else np.minimum(bands.ends[instance], sizes)
+        fits = (own + step >= 0) & (100 * other >= bands.percent * sizes)
+        need = bands.differ(sizes, other) // (bands.k2[instance] + 1) + 1
+        left = np.flatnonzero((sizes > 0) & fits & (bands.k[instance] > 0))
         for seed in range(_SEEDS):
             if not len(left):
                 break
@@ -160,7 +166,7 @@ def signatures(h: np.ndarray, sizes: np.ndarray, bands: Bands, family: int = 0)
                     rows.append(left[who[use]])
                     out.append(bk.mix(total[use] + tag[use]))
                 good += np.bincount(who[full], minlength=len(left))
-            left = left[good < bands.need[inst]]
+            left = left[good < need[left]]
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(rows), np.concatenate(out)

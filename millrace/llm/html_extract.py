@@ -30,18 +30,24 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that are no part of an article, whatever they hold.
 _APART = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe object canvas svg math dialog menu audio video map".split())
 _APART_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Parts of a class or id that name such elements; a name is cut at everything but letters.
+#: Parts of a class or id that name such elements; a name is cut at everything but letters. The first hold always, the second
+#: only where no part names content, and neither where the name says that the element has such a thing or wraps it with content.
 _APART_NAME = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "header masthead footer sidebar aside widget related recommended comment comments disqus reply replies respond share sharing social "
-    "cookie cookies consent notice notices alert disclaimer commentlist popup modal overlay newsletter subscribe signup login form search pagination pager toolbar skip".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation breadcrumb breadcrumbs "
+    "footer sidebar related recommended comment comments commentlist disqus replies share sharing cookie cookies consent popup modal "
+    "newsletter subscribe disclaimer".split()
 )
+_APART_WEAK = frozenset("header masthead menu aside widget reply respond social notice notices alert overlay signup login form search pagination pager toolbar skip".split())
+_WRAPS = frozenset("wrap wrapper container layout".split())
+_HAS = frozenset("has with no without".split())
 _CONTENT_TAG = frozenset(("article", "main"))
 _CONTENT_NAME = frozenset("article post entry story content main body text".split())
 #: An opening tag that ends an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table tr body html article section div main td th".split())
+_PARENT = re.compile(r"(?:/(?:ul|ol|dl))*/[^/]*$")
+_BESIDE = re.compile(r"/(?:p|h[1-6]|li|dt|dd|blockquote|pre|figcaption)$")
 _SPACES = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
@@ -58,7 +64,8 @@ def _apart(tag: str, attributes: str, in_content: bool) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 words = set(re.split(r"[^a-z]+", one))
-                if words & _APART_NAME and not words & _CONTENT_NAME:
+                content = words & _CONTENT_NAME
+                if not words & _HAS and ((words & _APART_NAME and not (content and words & _WRAPS)) or (words & _APART_WEAK and not content)):
                     return True
     if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) or re.search(r"display\s*:\s*none", attributes):
         return True
@@ -185,7 +192,9 @@ def extract(html: str | None) -> str:
         keep |= {p for p, _, _ in inside if re.search(r"(?:^|/)(?:p|h[1-6]|li|blockquote|pre|td|th|dd|dt|figcaption)$|(?:article|main)$", p)}
         return "\n".join(t for p, t, _ in inside if p in keep)
     keep = content_paths(found)
-    return "\n".join(t for p, t, _ in found if p in keep)
+    # Headings, lists and the like go with the content that they stand beside.
+    beside = {_PARENT.sub("", p) for p in keep}
+    return "\n".join(t for p, t, _ in found if p in keep or (_BESIDE.search(p) and _PARENT.sub("", p) in beside))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:

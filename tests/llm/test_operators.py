@@ -212,6 +212,8 @@ class TestHtml:
             f"<html><body>{junk}<article>{body}</article><footer>f</footer></body></html>",
             f"<body>{junk}<div class='content'>{body}</div><div class='comments'><p>Nice, very nice. I agree, of course, with all.</p></div>",
             f"<BODY><div id=sidebar><p>Side, by side, by side, and on. And on, and on.</p></div><main>{body}",
+            f"<div class='content-sidebar-wrap'><div class='entry-content'>{body}</div><div class='article-comments'><p>Nice, very nice, I agree.</p></div></div>",
+            f"<article>{body}<section id='comments'><article class='comment'><p>Well said, sir.</p></article></section></article>",
             f"<article>{body}<aside>Related, things.</aside><div class='cookie-notice'>We use cookies, yes.</div></article>",
         ):
             assert html_extract.extract(page) == want

@@ -9,6 +9,7 @@ from operator import eq
 import numpy as np
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
 _REPEAT = "\0repeat"
 #: Tokens remembered by a worker; the memory starts anew when it is full.
 TOKEN_MEMORY = 200_000
@@ -22,11 +23,9 @@ def words_and_marks(token: str) -> list[str]:
     if token == _REPEAT:
         return [token]
     words = _LETTERS.findall(token)
-    marks = _LETTERS.sub("a", token)
+    marks = _DIGITS.sub("0", _LETTERS.sub("a", token))
     out = ["w:" + w.lower() for w in words]
-    if any(c.isdigit() for c in marks):
-        out.append("s:digits")
-    elif marks not in ("a", "a.", "a,"):
+    if marks not in ("a", "a.", "a,"):
         out.append("s:" + marks[:16])
     if words and len(token) > 1 and token.isupper():
         out.append("s:upper")

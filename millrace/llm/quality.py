@@ -76,7 +76,7 @@ class Model:
 def fit_network(table: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 1500, batch: int = 512) -> Model:
     """Trains on four fifths of the rows and sets the temperature on the others."""
     rng = np.random.default_rng(7)
-    held = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
+    held = rng.permutation(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
     share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
     m = Model(
         table, x[~held].mean(0) if len(y) else np.zeros(WIDTH), x[~held].std(0) + 1e-6 if len(y) else np.ones(WIDTH),

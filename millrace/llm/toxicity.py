@@ -87,7 +87,7 @@ def _rows(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.ndar
 def fit_chain(categories: Sequence[str], names: dict[str, int], flat: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> Chain:
     """Fits the links in order. ``labels`` has a column for each category, NaN where a row has no label."""
     chain, n = Chain(list(categories), names), len(ends) - 1
-    fold, earlier = np.arange(n) % FOLDS, np.zeros((n, 0))
+    fold, earlier = np.random.default_rng(5).permutation(n) % FOLDS, np.zeros((n, 0))
     for k in range(len(categories)):
         y, known = labels[:, k], ~np.isnan(labels[:, k])
 

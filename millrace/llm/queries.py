@@ -61,7 +61,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("unwanted"), "toxic")
     scored = toxicity.score(docs, toxicity.train(docs, labels, ("unwanted", "toxic")))
-    return scored.select("doc_id", "p_unwanted", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return scored.select("doc_id", "p_unwanted", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT_FROM).alias("toxic"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

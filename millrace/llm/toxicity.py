@@ -26,7 +26,11 @@ from millrace.llm.features import Numbered, flattened, texts_of, with_beginnings
 MAX_LABELLED = 8_000
 FEATURES = 1_000
 MIN_DOCS = 4
+#: Standard deviations by which a part's share among positive rows must stand out.
+MIN_Z = 4.5
 FOLDS = 4
+#: Probability from which a document counts as having the category.
+REJECT_FROM = 0.3
 
 
 def labelled_sample(labels: DataFrame, id_col: str, max_rows: int) -> DataFrame:
@@ -84,15 +88,17 @@ def _rows(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.ndar
     return flattened([flat[ends[k] : ends[k + 1]] for k in pick])
 
 
-def fit_chain(categories: Sequence[str], names: dict[str, int], flat: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> Chain:
-    """Fits the links in order. ``labels`` has a column for each category, NaN where a row has no label."""
+def fit_chain(categories: Sequence[str], names: dict[str, int], own: np.ndarray, flat: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> Chain:
+    """Fits the links in order. ``labels`` has a column for each category, NaN where a row has no label; ``own`` has a row
+    for each category that marks its features."""
     chain, n = Chain(list(categories), names), len(ends) - 1
     fold, earlier = np.random.default_rng(5).permutation(n) % FOLDS, np.zeros((n, 0))
     for k in range(len(categories)):
-        y, known = labels[:, k], ~np.isnan(labels[:, k])
+        y, known, used = labels[:, k], ~np.isnan(labels[:, k]), own[k][flat] > 0
+        mine, at = flat[used], np.concatenate([[0], np.cumsum(used)])[ends]
 
-        def fitted(pick: np.ndarray, y=y, earlier=earlier) -> Linear:
-            f, e = _rows(flat, ends, pick)
+        def fitted(pick: np.ndarray, y=y, earlier=earlier, mine=mine, at=at) -> Linear:
+            f, e = _rows(mine, at, pick)
             return Linear(len(names), earlier.shape[1]).fit(f, e, earlier[pick], y[pick])
 
         chain.links.append(fitted(np.flatnonzero(known)))
@@ -126,16 +132,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     counts = sample.mapInArrow(counted, "part string, n double, " + ", ".join(f"p{i} double" for i in range(k)))
     counts = written(counts.groupBy("part").agg(F.sum("n").alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(k))).where(F.col("n") >= MIN_DOCS))
     total = sample.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in range(k))).first()
-    picked: set[str] = set()
+    picked: list[set[str]] = [set() for _ in categories]
     for i in range(k):
         n, ones = total["n"], total[f"c{i}"]
         if not 0 < ones < n:
             continue
         share = F.col("n") / n
         gap = F.col(f"p{i}") / ones - (F.col("n") - F.col(f"p{i}")) / (n - ones)
-        told = F.abs(gap) / F.sqrt(share * (1 - share) + 1e-9)
-        picked.update(r.part for r in counts.select("part", told.alias("told")).orderBy(F.desc("told"), "part").limit(FEATURES).collect())
-    names = {p: i for i, p in enumerate(sorted(picked))}
+        told = F.abs(gap) / F.sqrt(share * (1 - share) + 1e-9) * (ones * (n - ones) / n) ** 0.5
+        best = counts.select("part", told.alias("told")).where(F.col("told") >= MIN_Z).orderBy(F.desc("told"), "part").limit(FEATURES)
+        picked[i].update(r.part for r in best.collect())
+    names = {p: i for i, p in enumerate(sorted(set().union(*picked)))}
+    own = np.array([[p in mine for p in names] for mine in picked], float).reshape(k, len(names))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Numbered(with_beginnings, names.get)
@@ -145,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
 
     rows = sample.mapInArrow(numbered, "found array<int>, " + ", ".join(f"c{i} double" for i in range(k))).toPandas()
     flat, ends = flattened(list(rows["found"]))
-    return fit_chain(categories, names, flat, ends, rows[[f"c{i}" for i in range(k)]].to_numpy(float))
+    return fit_chain(categories, names, own, flat, ends, rows[[f"c{i}" for i in range(k)]].to_numpy(float))
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:

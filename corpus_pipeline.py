@@ -12,14 +12,12 @@ from millrace.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
 from millrace.llm.common import read_table, written
 from millrace.llm.queries import tokenizer_path
 
-TOXIC_FROM = 0.5
-
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("unwanted"), "toxic")
     chain = toxicity.train(docs, labels, ("unwanted", "toxic"))
-    return toxicity.score(docs, chain).where(F.col("p_toxic") < TOXIC_FROM).select(*docs.columns)
+    return toxicity.score(docs, chain).where(F.col("p_toxic") < toxicity.REJECT_FROM).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

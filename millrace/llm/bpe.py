@@ -26,8 +26,8 @@ from millrace.llm import bytekernels as bk
 #: The byte-level pre-tokenizer's pattern (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and pairs remembered by a Python worker; the memory starts anew when it is full.
-WORD_MEMORY = 400_000
-PAIR_MEMORY = 1_000_000
+WORD_MEMORY = 200_000
+PAIR_MEMORY = 500_000
 
 
 def _byte_letters() -> dict[str, int]:

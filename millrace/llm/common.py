@@ -23,12 +23,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch while tables are written: rows with whole texts or sets are wide.
+_BATCH_ROWS = 2000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: later steps survive lost
     executors and do not compute it twice."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, min(int(before), _BATCH_ROWS) if int(before) > 0 else _BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _REPEAT = "\0repeat"
 #: Tokens remembered by a worker; the memory starts anew when it is full.
-TOKEN_MEMORY = 200_000
+TOKEN_MEMORY = 100_000
 
 
 def words_and_marks(token: str) -> list[str]:

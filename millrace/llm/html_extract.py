@@ -2,8 +2,8 @@
 
 A page becomes text nodes with their root-to-leaf tag paths. For each path, the length of its text and its punctuation are
 added up over its nodes and set against the number of nodes; the two ratios are smoothed over neighbouring paths in page
-order, fused by multiplication and compared with a threshold taken from the page's own spread. Nodes of paths at or above it
-are content. Elements that are never part of an article (menus, scripts, forms, adverts, comments and so on) are left out
+order, fused by multiplication (less for paths outside a marked article) and compared with a threshold taken from the page's
+own spread. Nodes of paths at or above it are content, on every page. Elements that are never part of an article (menus, scripts, forms, adverts, comments and so on) are left out
 before, by tag, role, class or id.
 """
 
@@ -48,6 +48,8 @@ _SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
 _SCOPE = frozenset("ul ol dl table tr body html article section div main td th".split())
 _PARENT = re.compile(r"(?:/(?:ul|ol|dl))*/[^/]*$")
 _BESIDE = re.compile(r"/(?:p|h[1-6]|li|dt|dd|blockquote|pre|figcaption)$")
+_HEADING = re.compile(r"/h([1-6])$")
+_CELL = re.compile(r"/table(?:/(?:thead|tbody|tfoot))?/tr/t[dh]$")
 _SPACES = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
@@ -165,18 +167,23 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
 
 
 def content_paths(found: list[tuple[str, str, bool]]) -> set[str]:
-    """The paths whose fused ratio reaches the page's threshold."""
+    """The paths whose fused ratio reaches the page's threshold. Where the page marks an article, paths outside it count the
+    less the more of the page's text the article holds."""
+    if not found:
+        return set()
     paths = list(dict.fromkeys(p for p, _, _ in found))
     at = {p: k for k, p in enumerate(paths)}
-    length, marks, nodes = (np.zeros(len(paths)) for _ in range(3))
-    for p, text, _ in found:
+    length, marks, nodes, marked = (np.zeros(len(paths)) for _ in range(4))
+    for p, text, inside in found:
         length[at[p]] += len(text)
         marks[at[p]] += len(_PUNCTUATION.findall(text))
         nodes[at[p]] += 1
+        marked[at[p]] += inside
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), [0.15, 0.7, 0.15], "valid")
     fused = smooth(length / nodes) * smooth((marks + 0.1) / nodes)
-    if not len(fused):
-        return set()
+    # An article with up to a quarter of the text is one block among others; from two fifths on little beside it counts.
+    share = length[marked > 0].sum() / length.sum()
+    fused *= np.where(marked > 0, 1, min(1, (1 - share) / (3 * share)) ** 4 if share else 1)
     # Far below the best path is boilerplate; on pages of one kind of text everything stays.
     limit = min(0.05 * fused.max(), fused.mean())
     return {p for p in paths if fused[at[p]] >= limit}
@@ -185,16 +192,24 @@ def content_paths(found: list[tuple[str, str, bool]]) -> set[str]:
 def extract(html: str | None) -> str:
     """The main text: content blocks joined by line feeds; empty where nothing is content."""
     found = blocks(html or "")
-    inside = [b for b in found if b[2]]
-    if inside and sum(len(t) for _, t, _ in inside) * 4 >= sum(len(t) for _, t, _ in found):
-        # The page says where its article is: its paths compete among themselves, headings go with their article.
-        keep = content_paths(inside) if len({p for p, _, _ in inside}) > 12 else {p for p, _, _ in inside}
-        keep |= {p for p, _, _ in inside if re.search(r"(?:^|/)(?:p|h[1-6]|li|blockquote|pre|td|th|dd|dt|figcaption)$|(?:article|main)$", p)}
-        return "\n".join(t for p, t, _ in inside if p in keep)
     keep = content_paths(found)
-    # Headings, lists and the like go with the content that they stand beside.
-    beside = {_PARENT.sub("", p) for p in keep}
-    return "\n".join(t for p, t, _ in found if p in keep or (_BESIDE.search(p) and _PARENT.sub("", p) in beside))
+    # Headings, lists and the like go with the content that they stand beside, tables in a marked article as well. There a
+    # heading that its neighbours lift above the threshold takes nothing with it.
+    beside = {_PARENT.sub("", p) for p, _, inside in found if p in keep and not (inside and _HEADING.search(p))}
+    out: list[str] = []
+    article = any(inside and p in keep for p, _, inside in found)
+    follows = False
+    for p, text, inside in reversed(found):
+        stays = p in keep or bool(_BESIDE.search(p) and _PARENT.sub("", p) in beside)
+        if inside and not stays:
+            # A title goes with its article, a heading with the content after it.
+            heading = _HEADING.search(p)
+            stays = bool((heading and (follows or (article and heading[1] == "1"))) or (_CELL.search(p) and _CELL.sub("", p) in beside))
+        if not _HEADING.search(p):
+            follows = stays
+        if stays:
+            out.append(text)
+    return "\n".join(reversed(out))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:

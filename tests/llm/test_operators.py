@@ -218,6 +218,18 @@ class TestHtml:
         ):
             assert html_extract.extract(page) == want
 
+    def test_ratios_decide_inside_marked_articles(self):
+        text = "First paragraph, with text; it goes on, and on, and on. More of it, again."
+        body, junk = f"<p>{text}</p>" * 3, "<div><h3>Say</h3><p>Nice</p><p>Agree</p><p>Me too</p></div>"
+        out = html_extract.extract(f"<article><h1>Title</h1>{body}{junk}</article>")
+        assert "Title\n" + "\n".join([text] * 3) in out and not {"Nice", "Agree", "Me too"} & set(out.split("\n"))
+        # So with many paths, and a short block of the article stays in both.
+        many = "".join(f"<{t}><p>{text}</p></{t}>" for t in ("section", "blockquote", "details", "fieldset", "address", "figure", "center", "dd", "td", "li", "ul", "ol"))
+        for more in ("", many):
+            out = html_extract.extract(f"<article><header><h1>Title</h1></header>{body}<div>A short line, in a div.</div>{more}<h2>Sub</h2>{body}<table><tr><td>1</td></tr></table>{junk}</article>").split("\n")
+            assert {"Title", "A short line, in a div.", "Sub", "1"} <= set(out) and not {"Nice", "Agree", "Me too"} & set(out)
+        assert html_extract.extract(f"<article>{body}</article><div><p>Other text, outside; rather long, and more.</p></div>") == "\n".join([text] * 3)
+
     def test_edges(self, spark):
         assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<div><br></div>") == ""
         assert html_extract.extract("plain &lt;text&gt;, no tags.") == "plain <text>, no tags."

@@ -22,7 +22,9 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S,
 )
-_ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A name, with or without a value; values are read past, so that none is taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NOT_SHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none\b")
 _RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +63,8 @@ def _apart(tag: str, attributes: str, in_content: bool) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
+        if name == "hidden" or (name == "style" and _NOT_SHOWN.search(value)):
+            return True
         if name == "role" and value in _APART_ROLE:
             return True
         if name in ("class", "id"):
@@ -69,8 +73,6 @@ def _apart(tag: str, attributes: str, in_content: bool) -> bool:
                 content = words & _CONTENT_NAME
                 if not words & _HAS and ((words & _APART_NAME and not (content and words & _WRAPS)) or (words & _APART_WEAK and not content)):
                     return True
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) or re.search(r"display\s*:\s*none", attributes):
-        return True
     return False
 
 

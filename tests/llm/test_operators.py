@@ -230,6 +230,13 @@ class TestHtml:
             assert {"Title", "A short line, in a div.", "Sub", "1"} <= set(out) and not {"Nice", "Agree", "Me too"} & set(out)
         assert html_extract.extract(f"<article>{body}</article><div><p>Other text, outside; rather long, and more.</p></div>") == "\n".join([text] * 3)
 
+    def test_hidden_is_an_attribute_not_a_word_in_a_value(self):
+        text = "First paragraph, with text; it goes on, and on."
+        for shown in ('data-title="The hidden cost of rent"', "aria-label='a hidden gem'", 'title="display: none explained"', "title = hidden", 'data-hidden="x"', 'style="color: red"'):
+            assert html_extract.extract(f"<article {shown}><p>{text}</p></article>") == html_extract.extract(f"<p {shown}>{text}</p>") == text
+        for gone in ("hidden", "HIDDEN", 'id="x" hidden=""', "class=a hidden=until-found", 'style="color: red; display : none"', "style=display:none", "STYLE='DISPLAY:NONE'"):
+            assert html_extract.extract(f"<article><p>{text}</p><div {gone}><p>{text} No.</p></div></article>") == text
+
     def test_edges(self, spark):
         assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<div><br></div>") == ""
         assert html_extract.extract("plain &lt;text&gt;, no tags.") == "plain <text>, no tags."

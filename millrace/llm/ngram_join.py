@@ -190,6 +190,18 @@ def _digest(n: int):
     return run
 
 
+def _keyed(n: int):
+    """Rows ``(key, text)`` of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_keys(*shingle_sets(data, offsets, n)) for _, _, data, offsets in bk.slices(batch.column(0))]
+            key = pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, batch.column(0)], ["key", "text"])
+
+    return run
+
+
 def _signed(n: int, percent: int, largest: int):
     """Rows ``(sig, key, pivot)``. Nodes that share a signature within a run of documents are tied to the smallest of
     them here (``pivot`` set); only that one goes on to meet the others (``pivot`` null)."""
@@ -369,7 +381,8 @@ def jaccard_components(
     ``shingle`` words, or the whole sequence as one where it has fewer. Two documents link when the intersection makes up
     ``percent`` hundredths of the union or more; ``component_id`` is the smallest id reachable by links, itself included.
     Documents without words or text have an empty set and link with nothing. Equal texts are linked at once and never
-    expanded into pairs; rows that repeat an id keep their rows. A null id is never a component's name, unless alone.
+    expanded into pairs; rows that repeat an id keep their rows. A text without an id links like any other; a null id is a component's name only where
+    no member has an id.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
@@ -387,11 +400,18 @@ def jaccard_components(
     release(docs.sparkSession)
     stars = written(members.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
 
-    # The sets of the candidates, from their first document's text.
+    # The sets of the candidates, from the text of their first document.
     asked = stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()
     wanted = written(nodes.join(asked, "key", "left_semi").select("key", F.col("first_id").alias("id")))
     ids = wanted.select("id").distinct()
-    picked = source.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    few = wanted.count() <= BROADCAST_IDS
+    picked = source.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
+    # Texts that stand only in rows without an id are picked by their key, once each.
+    unnamed = wanted.where("id is null").select("key")
+    if not unnamed.isEmpty():
+        keyed = source.where("id is null").select("text").mapInArrow(_keyed(shingle), "key long, text string")
+        found = keyed.join(F.broadcast(unnamed) if few else unnamed, "key", "left_semi")
+        picked = picked.union(found.dropDuplicates(["key"]).select("text"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,7 +424,7 @@ def jaccard_components(
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n", "sketch", "set"])
 
     # A repeated id may bring other texts; each key stays once, and only if it was asked for.
-    sets = picked.select("text").mapInArrow(sets_of, "key long, n long, sketch binary, set binary").dropDuplicates(["key"])
+    sets = picked.mapInArrow(sets_of, "key long, n long, sketch binary, set binary").dropDuplicates(["key"])
     sets = written(sets.join(wanted.select("key"), "key", "left_semi"))
 
     links = written(_verify(stars, sets, percent))

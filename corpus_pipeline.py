@@ -13,6 +13,10 @@ from millrace.llm.common import read_table, written
 from millrace.llm.queries import tokenizer_path
 
 
+#: The written row key of the near-duplicate stage.
+_ROW = "_row_key"
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("unwanted"), "toxic")
@@ -28,10 +32,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, similarity of 0.8), the one with the smallest id."""
-    found = ngram_join.jaccard_components(docs, shingle=5, percent=80)
-    gone = found.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates stays (five words, similarity of 0.8), the one with the smallest id, null ids
+    last; of rows with one id the first one written. Rows are told apart by a written key, so ids may repeat or be null."""
+    keyed = written(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    # The order of the keys is the order of choice.
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(_ROW).alias("row"))
+    found = ngram_join.jaccard_components(keyed.select(key.alias("key"), "text"), id_col="key", shingle=5, percent=80)
+    gone = found.where("component_id.row <> id.row").select(F.col("id.row").alias(_ROW))
+    return keyed.join(gone, _ROW, "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

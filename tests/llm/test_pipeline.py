@@ -84,3 +84,13 @@ def test_run_is_the_stages_in_order(spark, sf_dir):
         docs = spark.createDataFrame(out.collect(), out.schema)
     got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == {r.doc_id: r.ids_sha256 for r in docs.collect()} and np.mean([len(x) for x in got.values()]) == 64
+
+
+def test_near_duplicates_bind_rows_not_ids(spark, sf_dir):
+    x, y, z = text(31, 40), text(32, 40), text(33, 40)
+    rows = [(3, x), (5, x), (5, y), (6, z), (6, z), (None, y + " more"), (None, text(34, 40)), (None, text(34, 40)), (8, None), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(3, x), (5, y), (6, z), (None, text(34, 40)), (8, None), (8, None), (None, "")]
+    assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(want, key=key)

@@ -23,7 +23,7 @@ def read_files(spark: SparkSession, path: str, codec: str | None = None, glob: s
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path).select("path", "content")
     named = files.withColumn("codec", F.lit(codec) if codec else detect("content"))
-    back = named.withColumn("back", decode("content", F.coalesce("codec", F.lit(""))))
+    back = named.withColumn("back", decode("content", F.coalesce("codec", F.lit("")), max_output))
     return back.select("path", "codec", "back.data", "back.error")
 
 

@@ -162,6 +162,15 @@ def test_files(spark, tmp_path):
     assert (named.out_path, named.back) == ("d/f.zst", "d/f")
 
 
+def test_read_files_has_the_callers_cap(spark, tmp_path):
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b"x" * 1000))
+    large = files.MAX_OUTPUT + 1
+    (tmp_path / "b.gz").write_bytes(gzip.compress(b"\0" * large))
+    sized = lambda most, glob: files.read_files(spark, str(tmp_path), glob=glob, max_output=most).select(F.length("data"), "error").first()
+    assert tuple(sized(1000, "a.gz")) == (1000, None) and tuple(sized(999, "a.gz")) == (None, "OutputLimitExceeded")
+    assert tuple(sized(large, "b.gz")) == (large, None) and tuple(sized(large - 1, "b.gz")) == (None, "OutputLimitExceeded")
+
+
 def test_gzip_members_join(spark):
     df = spark.createDataFrame([("s", k, b"part%d" % k) for k in range(5)], "stream_id string, seq long, chunk binary")
     parts = [bytes(r.member) for r in members.gzip_members(df).orderBy("seq").collect()]

@@ -12,12 +12,16 @@ import lzma
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import bytes as fb
+from millrace.operators import transforms
+
 MAX_OUTPUT = 64 << 20
 _LZMA2 = [{"id": lzma.FILTER_LZMA2, "dict_size": 4 << 20}]
 
@@ -138,6 +142,31 @@ def _unpackbits(data: bytes, most: int) -> bytes:
     return bytes(out)
 
 
+def _same_size(back: Callable[[bytes], bytes]):
+    def run(data: bytes, most: int) -> bytes:
+        if len(data) > most:
+            raise Failed("OutputLimitExceeded")
+        return back(data)
+
+    return run
+
+
+def _unbwt(data: bytes, most: int) -> bytes:
+    at = size = 0
+    while at < len(data):
+        if len(data) < at + 8:
+            raise Failed("UnexpectedEnd")
+        n, primary = (int(x) for x in np.frombuffer(data[at : at + 8], "<u4"))
+        if primary >= n:
+            raise Failed("Corrupt")
+        at, size = at + 8 + n, size + n
+        if at > len(data):
+            raise Failed("UnexpectedEnd")
+        if size > most:
+            raise Failed("OutputLimitExceeded")
+    return transforms._unbwt(data)
+
+
 def _arrow_stream_out(name: str):
     def run(data: bytes, level: int | None) -> bytes:
         sink = pa.BufferOutputStream()
@@ -179,12 +208,59 @@ DECODERS: dict[str, Callable[[bytes, int], bytes]] = {
     "snappy": _unsnappy,
     "lz4-frame": _arrow_stream("lz4"),
     "packbits": _unpackbits,
+    "delta": _same_size(lambda d: np.cumsum(np.frombuffer(d, np.uint8), dtype=np.uint8).tobytes()),
+    "mtf": _same_size(transforms._unmtf),
+    "bwt": _unbwt,
+}
+#: Codecs that are column functions; they have no levels. ``delta`` has a distance of 1.
+COLUMN_ENCODERS: dict[str, Callable[[Column], Column]] = {
+    "rle": fb.rle,
+    "rle90": fb.rle90,
+    "packbits": fb.packbits,
+    "delta": fb.delta,
+    "mtf": transforms.mtf,
+    "bwt": transforms.bwt,
+    "h2-huffman": fb.h2_huffman,
 }
 
 
+def _added(pieces: Column, size: Callable[[Column], Column]) -> Column:
+    return F.aggregate(pieces, F.lit(0).cast("long"), lambda n, x: n + size(x))
+
+
+def _rle_size(payload: Column) -> Column:
+    return _added(F.regexp_extract_all(F.hex(payload), F.lit("(..).."), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
+
+
+def _rle90_size(payload: Column) -> Column:
+    repeat = lambda x: (F.length(x) == 4) & (x != "9000")
+    pieces = F.regexp_extract_all(F.hex(payload), F.lit("90..|.."), F.lit(0))
+    return _added(pieces, lambda x: F.when(repeat(x), F.conv(F.substring(x, 3, 2), 16, 10).cast("long") - 1).otherwise(1))
+
+
+#: Decoders that are column functions, and the size of what they give.
+COLUMN_DECODERS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
+    "rle": (fb.unrle, _rle_size),
+    "rle90": (fb.unrle90, _rle90_size),
+}
+
+
+def _result(data: Column, error: Column) -> Column:
+    return F.struct(data.cast("binary").alias("data"), error.cast("string").alias("error"))
+
+
+def _decoded(payload: Column, codec: str, most: int) -> Column:
+    back, size = COLUMN_DECODERS[codec]
+    over, out = _result(F.lit(None), F.lit("OutputLimitExceeded")), back(payload)
+    return F.when(payload.isNull(), _result(F.lit(None), F.lit(None))).when(size(payload) > most, over).otherwise(out)
+
+
 def encode(payload: Column | str, codec: Column | str, level: int | None = None) -> Column:
     """The payload as one stream of ``codec`` (a name, or a column of names). Levels out of range are clamped. Null payloads
     stay null; an unknown codec gives null."""
+    payload = F.col(payload) if isinstance(payload, str) else payload
+    if isinstance(codec, str) and codec in COLUMN_ENCODERS:
+        return COLUMN_ENCODERS[codec](payload)
     name = F.lit(codec) if isinstance(codec, str) else codec
 
     @F.pandas_udf("binary")
@@ -192,12 +268,19 @@ def encode(payload: Column | str, codec: Column | str, level: int | None = None)
         for data, names in batches:
             yield pd.Series([ENCODERS[c](bytes(d), level) if d is not None and c in ENCODERS else None for d, c in zip(data, names, strict=True)], dtype=object)
 
-    return run(F.col(payload) if isinstance(payload, str) else payload, name)
+    out = run(payload, name)
+    for one, column in COLUMN_ENCODERS.items() if not isinstance(codec, str) else ():
+        # Functions in Python read only the rows that are theirs.
+        out = F.when(name == one, column(F.when(name == one, payload))).otherwise(out)
+    return out
 
 
 def decode(payload: Column | str, codec: Column | str, max_output: int = MAX_OUTPUT) -> Column:
     """``STRUCT<data, error>``. Exactly ``max_output`` bytes succeed, one more is ``OutputLimitExceeded``. Null payloads give
     two nulls; an unknown codec is ``Unsupported``."""
+    payload = F.col(payload) if isinstance(payload, str) else payload
+    if isinstance(codec, str) and codec in COLUMN_DECODERS:
+        return _decoded(payload, codec, max_output)
     name = F.lit(codec) if isinstance(codec, str) else codec
 
     def one(data: bytes | None, codec: str | None) -> tuple:
@@ -215,4 +298,7 @@ def decode(payload: Column | str, codec: Column | str, max_output: int = MAX_OUT
         for data, names in batches:
             yield pd.DataFrame([one(d, c) for d, c in zip(data, names, strict=True)], columns=["data", "error"], dtype=object)
 
-    return run(F.col(payload) if isinstance(payload, str) else payload, name)
+    out = run(payload, name)
+    for known in COLUMN_DECODERS if not isinstance(codec, str) else ():
+        out = F.when(name == known, _decoded(payload, known, max_output)).otherwise(out)
+    return out

@@ -1,8 +1,8 @@
 """Compressed files as sources and sinks.
 
 Files are read with Spark's ``binaryFile`` source, so listing, partition pruning and any file system that Spark knows come with
-it; a file is one row and one stream. Their codec is told by their first bytes or given. Sinks write one file for each row with
-Spark's own writers by way of a table, or gzip members appended in order by a partition.
+it; a file is one row and one stream. Their codec is told by their first bytes or given. The sink is a Parquet table with an
+encoded payload.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.bytes import detect
-from millrace.functions.codecs import MAX_OUTPUT, decode, encode
+from millrace.functions.codecs import COLUMN_ENCODERS, ENCODERS, MAX_OUTPUT, decode, encode
 from millrace.plans.registry import registry
 
 
@@ -42,7 +42,10 @@ def decoded_name(path_col: str, extension: str):
 
 def write_encoded(df: DataFrame, payload_col: str, codec: str, path: str, level: int | None = None, mode: str = "error") -> None:
     """Writes ``df`` as a Parquet table with its payload encoded, and the codec and raw length beside it. The default mode never
-    overwrites; Parquet's own compression is off, as the payload is compressed already."""
+    overwrites; Parquet's own compression is off, as the payload is compressed already. A codec that
+    cannot encode raises before anything is written."""
+    if codec not in ENCODERS and codec not in COLUMN_ENCODERS:
+        raise ValueError(f"Unsupported: {codec} cannot encode")
     out = df.withColumn("codec", F.lit(codec)).withColumn("raw_bytes", F.octet_length(payload_col).cast("long")).withColumn(payload_col, encode(payload_col, codec, level))
     out.write.mode(mode).option("compression", "none").parquet(path)
 

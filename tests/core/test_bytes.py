@@ -147,6 +147,34 @@ def test_report(rows):
     assert {(r.k, r.n_rows) for r in got} == {(0, 4), (1, 4), (None, 8)}
 
 
+def test_registry_names_what_encodes_and_decodes(spark, rows, tmp_path):
+    known, more = registry(spark).collect(), [b"\x90" * 7, b"a\x90b", bytes(range(255, -1, -1))]
+    df = rows.union(spark.createDataFrame([(100 + i, p) for i, p in enumerate(more)], rows.schema)).where("raw is not null")
+    want = {i: p for i, p in enumerate(PAYLOADS) if p is not None} | {100 + i: p for i, p in enumerate(more)}
+    both = [r.name for r in known if r.can_encode and r.can_decode]
+    assert {"rle", "rle90", "packbits", "delta", "mtf", "bwt"} <= set(both)
+    named = df.crossJoin(F.broadcast(spark.createDataFrame([(r.name,) for r in known], "name string")))
+    coded = named.withColumn("x", encode("raw", F.col("name"))).localCheckpoint()
+    assert {r.name for r in coded.where("x is not null").select("name").distinct().collect()} == {r.name for r in known if r.can_encode}
+    got = coded.withColumn("b", decode("x", F.col("name"))).where(F.col("name").isin(both)).collect()
+    assert len(got) == len(both) * len(want) and all((r.b.data, r.b.error) == (want[r.id], None) for r in got)
+    tried = [decode(F.lit(b"\x01a"), r.name)["error"].alias(str(k)) for k, r in enumerate(known)]
+    errors = spark.range(1).select(*tried).first()
+    assert all((e == "Unsupported") != r.can_decode for e, r in zip(errors, known, strict=True))
+    files.write_encoded(df, "raw", "rle", str(tmp_path / "t"))
+    assert {r.id: r.raw for r in files.read_encoded(spark, str(tmp_path / "t"), "raw").collect()} == want
+    with pytest.raises(ValueError, match="Unsupported"):
+        files.write_encoded(df, "raw", "lzw", str(tmp_path / "u"))
+
+
+@pytest.mark.parametrize("codec", ["rle", "rle90", "packbits", "delta", "mtf", "bwt"])
+def test_limits_of_byte_codecs(spark, codec):
+    data = b"a" * 300 + b"\x90" * 5 + b"xyz\x90"
+    df = spark.createDataFrame([(data,)], "raw binary").select(encode("raw", codec).alias("x"))
+    exact, over = df.select(decode("x", codec, len(data)), decode("x", codec, len(data) - 1)).first()
+    assert (exact.data, exact.error, over.data, over.error) == (data, None, None, "OutputLimitExceeded")
+
+
 def test_files(spark, tmp_path):
     for name, body in (("a.gz", gzip.compress(b"one")), ("b.xz", lzma.compress(b"two")), ("c.bin", b"plain")):
         (tmp_path / name).write_bytes(body)

@@ -10,18 +10,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_RNG = np.random.default_rng(0x51ED270B)
-_BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_CODE_2 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 SLICE_BYTES = 1 << 20
-_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+#: Keeps the first 0 to 8 bytes of a little-endian block.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans that are hashed at a time: their blocks take memory.
+_SPANS = 1 << 16
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,28 +51,47 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
             at = to
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p)
-    return _POWERS[0], _POWERS[1]
+def mix_again(h: np.ndarray) -> np.ndarray:
+    """As ``mix``, by other numbers."""
+    h = h ^ (h >> np.uint64(30))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h = h ^ (h >> np.uint64(27))
+    h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 class SpanHash:
-    """64-bit hashes of any spans of ``data``: equal bytes, equal hash."""
+    """64-bit hashes of any spans of ``data``: equal bytes, equal hash. Every block of eight bytes is mixed with the number of its
+    place in the span before the sum is mixed again; mixing is not linear, so that repeats and swaps in a text do not cancel."""
 
-    def __init__(self, data: np.ndarray, second: bool = False):
-        powers, self._inverse = _powers(len(data) + 1)
-        code = (_BYTE_CODE_2 if second else _BYTE_CODE)[data]
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(code * powers[: len(data)], out=self._sums[1:])
+    def __init__(self, data: np.ndarray):
+        self._padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self._blocks = np.ndarray((len(data) + 1,), "<u8", self._padded, strides=(1,))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self._sums[end] - self._sums[start]) * self._inverse[start]
-        return mix(h + (end - start).astype(np.uint64))
+        return self._hashed(start, end, 1)[0]
+
+    def pairs(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each span."""
+        return self._hashed(start, end, 2)
+
+    def _hashed(self, start: np.ndarray, end: np.ndarray, many: int) -> tuple[np.ndarray, ...]:
+        out = tuple(np.zeros(len(start), np.uint64) for _ in range(many))
+        for at in range(0, len(start), _SPANS):
+            s = np.asarray(start[at : at + _SPANS], np.int64)
+            n = np.asarray(end[at : at + _SPANS], np.int64) - s
+            count = (n + 7) >> 3
+            first = np.cumsum(count) - count
+            place = np.arange(int(count.sum())) - np.repeat(first, count)
+            block = self._blocks[np.repeat(s, count) + 8 * place] & _FIRST[np.minimum(np.repeat(n, count) - 8 * place, 8)]
+            place = (place + 1).astype(np.uint64) * _GOLDEN
+            some = count > 0
+            for k, by in enumerate((mix, mix_again)[:many]):
+                sums = np.zeros(len(s), np.uint64)
+                if len(block):
+                    sums[some] = np.add.reduceat(by(block ^ mix(place + np.uint64(k))), first[some])
+                out[k][at : at + _SPANS] = by(sums + n.astype(np.uint64) * _GOLDEN)
+        return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +109,9 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     return start, end, np.searchsorted(start, offsets)
 
 
-GRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def gram_code(k: int) -> np.uint64:
+    """The odd number by which the hash of a run's word ``k`` counts."""
+    return mix(np.array([k + 1], np.uint64) * _GOLDEN)[0] | np.uint64(1)
 
 
 def gram_hash(word_hash: np.ndarray, n: int) -> np.ndarray:
@@ -99,7 +119,7 @@ def gram_hash(word_hash: np.ndarray, n: int) -> np.ndarray:
     count = max(0, len(word_hash) - n + 1)
     out = np.zeros(count, np.uint64)
     for k in range(n):
-        out += word_hash[k : k + count] * GRAM[k]
+        out += word_hash[k : k + count] * gram_code(k)
     return mix(out)
 
 

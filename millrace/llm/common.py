@@ -14,10 +14,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only a local session may go without one: there, it is a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='millrace-')}")
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -33,15 +43,19 @@ def written(df: DataFrame) -> DataFrame:
     executors and do not compute it twice."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace/{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH_SETTING)
-    spark.conf.set(_BATCH_SETTING, min(int(before), _BATCH_ROWS) if int(before) > 0 else _BATCH_ROWS)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH_SETTING, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_table(df: DataFrame) -> None:
+    """Deletes a table made by ``written`` that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if name.rsplit("/", 2)[1] == "millrace":
+            folder = path(name)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of finished steps now: Spark deletes them once the driver's garbage is collected."""
     gc.collect()

@@ -5,8 +5,8 @@ the threshold are dealt into shards; each shard becomes a minimal perfect hash (
 bits, ranked) that indexes an array of fingerprints and an array of counts. A second pass hashes the lines
 of each document again and probes the arrays; documents are never joined with lines or shuffled.
 
-The arrays go to the executors whole only while their measured size is under ``broadcast_bytes``. Beyond
-that, line hashes travel to the shard that can answer them and only the hits come back.
+The arrays go to the executors ``broadcast_bytes`` at a time. If they take more, there are several passes over the texts, each
+of which probes its shards and notes the numbers of the lines to drop; only these numbers are then joined with their documents.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import bytekernels as bk
-from millrace.llm.common import written
+from millrace.llm.common import fresh, release_table, written
 
 KEYS_PER_SHARD = 1 << 16
 BROADCAST_BYTES = 64 << 20
@@ -100,8 +100,7 @@ def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Start, end, row, whether the key is empty, and two 64-bit hashes of the key, of each line."""
     start, end, row = bk.lines(data, offsets)
     s, e = bk.stripped(data, start, end)
-    low = bk.LOWER[data]
-    return start, end, row, s == e, bk.SpanHash(low).of(s, e), bk.SpanHash(low, second=True).of(s, e)
+    return start, end, row, s == e, *bk.SpanHash(bk.LOWER[data]).pairs(s, e)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +176,11 @@ def _output(batch: pa.RecordBatch, text_at: int, texts: list[bytes], n_lines: li
     return pa.RecordBatch.from_arrays([*columns, *new, sums], [*batch.schema.names, "n_lines", "n_dropped", "kept_sha256"])
 
 
+def _numbers(line_of: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The number of each line within its row."""
+    return line_of - np.searchsorted(row, np.arange(rows))[row[line_of]]
+
+
 def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every column of ``docs``, with ``text_col`` holding the kept lines, and ``n_lines`` (before dropping),
     ``n_dropped``, ``kept_sha256``.
@@ -184,7 +188,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, bro
     A line's key is the line without white space at both ends and with A-Z lowered. Keys of one code point or
     more found in at least ``min_docs`` documents lose all their lines; empty keys never do. A null or empty
     text counts as one empty line and becomes an empty text. Repeats of a line inside one document count that
-    document once. Input columns named like the new ones are replaced; an empty table gives an empty table.
+    document once; rows that are equal are documents of their own. Input columns named like the new ones are replaced; an
+    empty table gives an empty table. A single text is handled in one piece and takes about ten times its bytes.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_sha256")
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_lines long, n_dropped long, kept_sha256 string").fields])
@@ -192,9 +197,13 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, bro
     frequent = written(frequent_lines(docs, text_col, min_docs))
     n_shards = max(1, -(-frequent.count() // KEYS_PER_SHARD))
     shards = written(build_shards(frequent, n_shards))
-    if (shards.agg(F.sum(F.length("body"))).first()[0] or 0) > broadcast_bytes:
-        return _by_shard(docs, text_col, shards, n_shards, schema)
+    release_table(frequent)
+    size = shards.agg(F.sum(F.length("body"))).first()[0] or 0
+    n_passes = min(n_shards, max(1, -(-size // max(1, broadcast_bytes))))
+    if n_passes > 1:
+        return _by_passes(docs, text_col, shards, n_shards, n_passes, schema)
     held = spark.sparkContext.broadcast([(r.shard, bytes(r.body)) for r in shards.collect()])
+    release_table(shards)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Shards(n_shards, {s: _Table(body) for s, body in held.value})
@@ -211,54 +220,44 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, bro
     return docs.mapInArrow(probe, schema)
 
 
-def _by_shard(docs: DataFrame, text_col: str, shards: DataFrame, n_shards: int, schema: T.StructType) -> DataFrame:
-    """The way beyond ``broadcast_bytes``: line hashes, not lines, go to their shard; hits return to their document.
-    Each distinct hash of a run of documents goes once, so a line that many documents share stays small."""
-    text_at = docs.columns.index(text_col)
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in bk.slices(batch.column(0)):
-                _, _, row, empty, h, g = line_keys(data, offsets)
-                pdf = pd.DataFrame({"h": h[~empty].view(np.int64), "g": g[~empty].view(np.int64), "shard": (h[~empty].view(np.int64) % n_shards).astype(np.int32), "salt": (g[~empty] % np.uint64(8)).astype(np.int32)})
-                yield pa.RecordBatch.from_pandas(pdf.drop_duplicates(), preserve_index=False)
-
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return left[["h", "g"]][:0]
-        found = _Table(right["body"].iloc[0]).count(left["h"].to_numpy().view(np.uint64), left["g"].to_numpy().view(np.uint64)) > 0
-        return left[["h", "g"]][found].drop_duplicates()
-
-    asked = docs.select(text_col).mapInArrow(hashes, "h long, g long, shard int, salt int").distinct()
-    salted = shards.select("*", F.explode(F.array(*map(F.lit, range(8)))).alias("salt"))
-    hits = written(asked.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInPandas(probe, "h long, g long"))
-
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for a, b, data, offsets in bk.slices(batch.column(1)):
-                _, _, row, empty, h, g = line_keys(data, offsets)
-                ids = np.asarray(batch.column(0))[at : at + b - a]
-                at += b - a
-                start = np.searchsorted(row, np.arange(b - a))
-                keep = np.flatnonzero(~empty)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[keep]]), pa.array((keep - start[row[keep]]).astype(np.int32)), pa.array(h[keep].view(np.int64)), pa.array(g[keep].view(np.int64))], ["_row", "line", "h", "g"])
-
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    lines = keyed.select("_row", text_col).mapInArrow(exploded, "_row long, line int, h long, g long")
-    dropped = lines.join(hits, ["h", "g"], "left_semi").groupBy("_row").agg(F.collect_set("line").alias("_lines"))
-    joined = keyed.join(dropped, "_row", "left").drop("_row")
+def _by_passes(docs: DataFrame, text_col: str, shards: DataFrame, n_shards: int, n_passes: int, schema: T.StructType) -> DataFrame:
+    """The way beyond ``broadcast_bytes``. Rows get a written key, and each pass notes the lines that its shards know."""
+    text_at, key = docs.columns.index(text_col), fresh(docs, "row_key")
+    noted = fresh(docs, "line_numbers")
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()))
+    notes = None
+    for k in range(n_passes):
+        own = shards.where(F.col("shard") % n_passes == k)
+        held = docs.sparkSession.sparkContext.broadcast([(r.shard, bytes(r.body)) for r in own.collect()])
+
+        def note(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            table = Shards(n_shards, {s: _Table(body) for s, body in held.value})
+            for batch in batches:
+                for at, to, data, offsets in bk.slices(batch.column(1)):
+                    _, _, row, empty, h, g = line_keys(data, offsets)
+                    known = np.flatnonzero((table.count(h, g) > 0) & ~empty)
+                    count = np.bincount(row[known], minlength=to - at)
+                    ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                    numbers = pa.ListArray.from_arrays(pa.array(ends), pa.array(_numbers(known, row, to - at).astype(np.int32)))
+                    out = pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), numbers], ["own", "numbers"])
+                    yield out.filter(pa.array(count > 0))
+
+        found = written(keyed.select(key, text_col).mapInArrow(note, "own long, numbers array<int>"))
+        held.unpersist()
+        notes = found if notes is None else notes.union(found)
+    release_table(shards)
+    gone = notes.groupBy(F.col("own").alias(key)).agg(F.flatten(F.collect_list("numbers")).alias(noted))
+    joined = keyed.join(gone, key, "left").select(*docs.columns, noted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, at = batch.column(batch.num_columns - 1).to_pylist(), 0
+            gone = batch.column(batch.num_columns - 1).to_pylist()
             texts, n_lines, n_dropped = [], [], []
-            for a, b, data, offsets in bk.slices(batch.column(text_at)):
+            for at, to, data, offsets in bk.slices(batch.column(text_at)):
                 start, end, row = bk.lines(data, offsets)
-                drop, first = np.zeros(len(row), bool), np.searchsorted(row, np.arange(b - a))
-                for k in range(b - a):
+                drop, first = np.zeros(len(row), bool), np.searchsorted(row, np.arange(to - at))
+                for k in range(to - at):
                     drop[first[k] + np.array(gone[at + k] or [], np.int64)] = True
-                at += b - a
                 t, x, y = _kept(data, offsets, start, end, row, drop)
                 texts += t
                 n_lines.append(x)

@@ -30,6 +30,28 @@ def test_hash_of_spans_tells_them_apart():
     data = np.frombuffer(b"abcabdabc", np.uint8)
     h = bytekernels.SpanHash(data).of(np.array([0, 3, 6, 0]), np.array([3, 6, 9, 0]))
     assert h[0] == h[2] and len(set(h.tolist())) == 3
+    for n in (7, 8, 9, 40):  # bytes after the span do not count
+        data = np.frombuffer(b"x" * n + b"yyyyyyyyy" + b"x" * n + b"z", np.uint8)
+        h = bytekernels.SpanHash(data).of(np.array([0, n + 9, 0]), np.array([n, 2 * n + 9, n - 1]))
+        assert h[0] == h[1] != h[2]
+
+
+def thue_morse(n):
+    """A line and its complement, for which hashes by powers of a number fail modulo a power of two."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_hash_of_thue_morse(spark, n):
+    one, other = thue_morse(n)
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    h, g = bytekernels.SpanHash(data).pairs(np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1] and g[0] != g[1] and not set(h.tolist()) & set(g.tolist())
+    df = spark.createDataFrame([(i, other if i else one) for i in range(12)], "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).collect()} == {i: int(i > 0) for i in range(12)}
+    got = {r.id: r.component_id for r in ngram_join.jaccard_components(df).collect()}
+    assert got == {i: min(i, 1) for i in range(12)}
 
 
 @pytest.fixture(scope="module")
@@ -73,12 +95,16 @@ class TestLines:
         return [f"own {i}\n{shared[i % 3]}\n\nlast {i % 2}" for i in range(12)] + ODD
 
     @pytest.mark.parametrize("budget", [line_dedup.BROADCAST_BYTES, 0])
-    def test_equals_brute_force(self, spark, budget):
-        texts = self.rows()
-        df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_lines string").repartition(3)
-        got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df, min_docs=5, broadcast_bytes=budget).collect()}
-        assert got == dict(enumerate(brute.dedup_lines(texts, 5)))
+    def test_equals_brute_force(self, spark, budget, monkeypatch):
+        monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 1)
+        texts = self.rows() + ["same row\nother"] * 6 + ["long line " * 20_000 + "\n" + "many\n" * 3000] * 5
+        df = spark.createDataFrame([(i, t, "clash", "row") for i, t in enumerate(texts)], "doc_id long, text string, n_lines string, row_key string").repartition(3)
+        out = line_dedup.dedup_lines(df, min_docs=5, broadcast_bytes=budget)
+        got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in out.collect()}
+        assert got == dict(enumerate(brute.dedup_lines(texts, 5))) and set(out.columns) >= {"row_key", "text"}
         assert any(x[2] for x in got.values())
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Join" in plan) == (budget == 0) and "h#" not in plan  # texts never meet line hashes
 
     def test_empty_table(self, spark, docs):
         assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
@@ -96,7 +122,7 @@ class TestWindows:
 
     @pytest.mark.parametrize("chunk", [decontaminate.CHUNK_BYTES, 60])
     def test_equals_brute_force(self, spark, chunk):
-        texts = ODD + [text(2, 700) + " " + text(7, 20).upper() + " " + text(3, 30), "a short, ITEM short item", text(7, 13), "z ünï X 漢字-y", text(7, 12)]
+        texts = ODD + [text(4, 4000) + " " + text(7, 14) + " " + text(5, 900)] * 2 + [text(2, 700) + " " + text(7, 20).upper() + " " + text(3, 30), "a short, ITEM short item", text(7, 13), "z ünï X 漢字-y", text(7, 12)]
         df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
         bench = spark.createDataFrame(self.ITEMS, "item_id long, text string")
         got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids)) for r in decontaminate.find_benchmark_windows(df, bench, chunk_bytes=chunk).collect()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns of these names renamed, so that an operator may add its own; and what brings a result back to the
+    columns of ``df``."""
+    taken = {n.lower() for n in names}
+    moved: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in taken:
+            moved[c] = fresh(df, "aside_" + c)
+    return df.withColumnsRenamed(moved), lambda out: out.select(*(F.col(moved.get(c, c)).alias(c) for c in df.columns))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a local session may go without one: there, it is a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -33,11 +45,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Rows of an Arrow batch while tables are written: rows with whole texts or sets are wide.
-_BATCH_ROWS = 2000
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: later steps survive lost
     executors and do not compute it twice."""
@@ -75,7 +82,7 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps until nothing changes. Each step keeps, for a
     node, only the smallest neighbour (a combinable minimum), so no neighbourhood is gathered.
-    Nodes without edges have no row.
+    Nodes without edges have no row. The result reads a table of its own, not ``edges``.
     """
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -83,16 +90,19 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _settled(now):
             break
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        before, both = now, now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = (
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct()
         )
         large = written(large)
+        release_table(low)
         low = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = written(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        for table in (before, large, low):
+            release_table(table)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

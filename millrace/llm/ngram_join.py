@@ -6,13 +6,15 @@ is hashed into first-level partitions, so many that at least one of them holds a
 and each of those into ``n2`` second-level partitions; the signatures are the contents of every union of ``n2 - k2``
 second-level partitions. Similar sets therefore share a signature of their common band.
 
-Only partitions with content give signatures. A set whose partitions with content are too few for the bound takes another
-hash seed as well; of a similar pair either set with enough of them is sufficient, so only two poor sets need the next seed.
-
-Sets that share a signature are candidates. Equal sets are one node from the start. In a group of one signature, every set
-is first verified against the group's smallest one. What that leaves in different components is compared within the group,
-in blocks, by short sketches that can only overlook differences; members with a partner left are compared by their sets. Pairs
-never leave a task: only links that join components do.
+Only partitions with content give signatures, and of those only the first ones: as many as the bound and one more, since before
+the first that a similar pair has in common both can only have differing ones. A set whose partitions with content are too few
+takes another hash seed as well; of a similar pair either set with enough of them is sufficient, so only two poor sets need the
+next seed.
+
+Sets that share a signature are candidates. Equal sets are one node from the start, told apart by 128 bits and numbered; shorter
+keys only look candidates up. In a group of one signature, every set is first verified against the group's smallest one. What
+that leaves in different components is compared within the group, in blocks, by short sketches that can only overlook
+differences; members with a partner left are compared by their sets. Pairs never leave a task: only links that join components do.
 """
 
 from __future__ import annotations
@@ -27,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import bytekernels as bk
-from millrace.llm.common import connected, release, written
+from millrace.llm.common import connected, release, release_table, written
 
 #: Members of a group that one task compares; larger groups are compared block by block.
-BLOCK = 1024
+BLOCK = 2048
 _SKETCH_MOST = 1 << 13
-#: Candidate documents up to this number are picked by a broadcast of their ids, more by a shuffled join.
-BROADCAST_IDS = 1_000_000
+#: Keys and ids of candidates are broadcast up to this size, measured; beyond it, they are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 _SEEDS = 8
-#: Signatures that a task holds before it passes them on.
+#: Signatures that a task holds before it passes them on, and those that a task brings together.
 _HELD_ROWS = 300_000
+_MET_ROWS = 1_000_000
 _WORD = ~bk.SPACE
 
 
@@ -94,19 +97,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return h[keep], np.bincount(row[keep], minlength=rows)
 
 
-def set_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set; equal sets, equal keys (0 for empty sets)."""
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bk.mix(h ^ np.uint64(0x7F4A7C15)))])
-    return np.where(sizes > 0, bk.mix((sums[at[1:]] - sums[at[:-1]]) ^ sizes.astype(np.uint64)), np.uint64(0))
+def set_keys(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit keys of each set; equal sets, equal keys (0 for empty sets)."""
+    at, out = np.concatenate([[0], np.cumsum(sizes)]), []
+    for by, salt in ((bk.mix, 0x7F4A7C15), (bk.mix_again, 0x1CE4E5B9)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(by(h ^ np.uint64(salt)))])
+        out.append(np.where(sizes > 0, by((sums[at[1:]] - sums[at[:-1]]) ^ sizes.astype(np.uint64)), np.uint64(0)))
+    return out[0], out[1]
 
 
 def sketch(h: np.ndarray, percent: int) -> bytes:
-    """One byte for each part of a set cut into a power of two of parts, about four for each difference allowed. Sets that
+    """One byte for each part of a set cut into a power of two of parts, two to four for each difference allowed. Sets that
     differ by ``d`` elements have sketches that differ in ``d`` bytes at most, and sketches of halved length are had by
     adding up halves."""
     k = 2 * len(h) * (100 - percent) // (100 + percent)
-    parts = min(_SKETCH_MOST, 1 << max(4, int(4 * k).bit_length()))
+    parts = min(_SKETCH_MOST, 1 << max(4, int(2 * k).bit_length()))
     mixed = bk.mix(h ^ np.uint64(0x94D049BB133111EB))
     sums = np.bincount((mixed & np.uint64(parts - 1)).astype(np.int64), ((mixed >> np.uint64(32)) & np.uint64(255)).astype(float), parts)
     return (sums.astype(np.int64) & 255).astype(np.uint8).tobytes()
@@ -155,16 +160,20 @@ def signatures(h: np.ndarray, sizes: np.ndarray, bands: Bands, family: int = 0)
                     continue
                 first = np.repeat(base[mine], n1[mine]) + b * (np.arange(n1[mine].sum()) - np.repeat(np.cumsum(n1[mine]) - n1[mine], n1[mine]))
                 who = np.repeat(mine, n1[mine])
-                full = np.ones(len(first), bool)
-                for c, subset in enumerate(combinations(range(b), b - a)):
-                    total = sum((content[first + j] for j in subset), np.zeros(len(first), np.uint64))
-                    some = sum(filled[first + j] for j in subset) > 0
-                    full &= some
-                    use = some | last
-                    place = (first - base[who]).astype(np.uint64) * np.uint64(4) + np.uint64(c)
-                    tag = bk.mix((instance[left[who]].astype(np.uint64) << np.uint64(32)) + place + salt)
+                subsets = list(combinations(range(b), b - a))
+                some = [sum(filled[first + j] for j in subset) > 0 for subset in subsets]
+                full = np.logical_and.reduce(some)
+                # Those before the last one needed; all of a set that does not have so many.
+                so_far = np.concatenate([[0], np.cumsum(full)])
+                starts = np.cumsum(n1[mine]) - n1[mine]
+                early = so_far[:-1] - np.repeat(so_far[starts], n1[mine]) < need[left[who]]
+                for c, subset in enumerate(subsets):
+                    use = early & (some[c] | last)
+                    total = sum((content[first[use] + j] for j in subset), np.zeros(int(use.sum()), np.uint64))
+                    place = (first[use] - base[who[use]]).astype(np.uint64) * np.uint64(4) + np.uint64(c)
+                    tag = bk.mix((instance[left[who[use]]].astype(np.uint64) << np.uint64(32)) + place + salt)
                     rows.append(left[who[use]])
-                    out.append(bk.mix(total[use] + tag[use]))
+                    out.append(bk.mix(total + tag))
                 good += np.bincount(who[full], minlength=len(left))
             left = left[good < need[left]]
     if not rows:
@@ -172,40 +181,55 @@ def signatures(h: np.ndarray, sizes: np.ndarray, bands: Bands, family: int = 0)
     return np.concatenate(rows), np.concatenate(out)
 
 
+def _signed_column(a: np.ndarray) -> pa.Array:
+    return pa.array(a.view(np.int64))
+
+
 def _arrow(names: str, *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names.split())
+    return pa.RecordBatch.from_arrays([_signed_column(c) if c.dtype == np.uint64 else pa.array(c) for c in columns], names.split())
 
 
 def _digest(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for _, _, data, offsets in bk.slices(batch.column(1)):
+            for at, to, data, offsets in bk.slices(batch.column(1)):
                 h, size = shingle_sets(data, offsets, n)
-                keys.append(set_keys(h, size))
-                sizes.append(size)
-            key = pa.array(np.concatenate(keys).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), key, pa.array(np.concatenate(sizes))], ["id", "key", "n"])
+                key, more = set_keys(h, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), _signed_column(key), _signed_column(more), pa.array(size)], ["id", "key", "key2", "n"])
 
     return run
 
 
 def _keyed(n: int):
-    """Rows ``(key, text)`` of texts."""
+    """Rows ``(key, key2, text)`` of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [set_keys(*shingle_sets(data, offsets, n)) for _, _, data, offsets in bk.slices(batch.column(0))]
-            key = pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([key, batch.column(0)], ["key", "text"])
+            for at, to, data, offsets in bk.slices(batch.column(0)):
+                key, more = set_keys(*shingle_sets(data, offsets, n))
+                yield pa.RecordBatch.from_arrays([_signed_column(key), _signed_column(more), batch.column(0).slice(at, to - at)], ["key", "key2", "text"])
 
     return run
 
 
-def _signed(n: int, percent: int, largest: int):
-    """Rows ``(sig, key, pivot)``. Nodes that share a signature within a run of documents are tied to the smallest of
-    them here (``pivot`` set); only that one goes on to meet the others (``pivot`` null)."""
-    bands = Bands(percent, largest)
+def _packed(*columns: np.ndarray) -> pa.Array:
+    """Rows of 64-bit numbers as one binary value; of the first column, a signature, the upper 48 bits."""
+    parts = [np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8) for c in columns]
+    return pa.array([np.hstack([parts[0][:, 2:], *parts[1:]]).tobytes()], pa.binary())
+
+
+def _unpacked(body: bytes, width: int) -> list[np.ndarray]:
+    rows = np.frombuffer(body, np.uint8).reshape(-1, 6 + 8 * (width - 1))
+    first = np.zeros((len(rows), 8), np.uint8)
+    first[:, :6] = rows[:, :6]
+    return [first.view("<u8")[:, 0]] + [np.ascontiguousarray(rows[:, 6 + 8 * k : 14 + 8 * k]).view("<u8")[:, 0] for k in range(width - 1)]
+
+
+def _signed(n: int, percent: int, largest: int, parts: int):
+    """Rows ``(part, body)``: signatures and keys, packed, of a run of documents for one part of the signatures. Nodes that
+    share a signature within the run are tied to the smallest of them here (signature, key and pivot, packed, in rows of a
+    negative part); only that one goes on to meet the others."""
+    bands, most = Bands(percent, largest), min(2_000_000, max(_HELD_ROWS, 400 * parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, keys, held = [], [], 0
@@ -213,50 +237,55 @@ def _signed(n: int, percent: int, largest: int):
             for _, _, data, offsets in bk.slices(batch.column(0)):
                 h, size = shingle_sets(data, offsets, n)
                 row, sig = signatures(h, size, bands)
-                sigs.append(sig.view(np.int64))
-                keys.append(set_keys(h, size).view(np.int64)[row])
+                sigs.append(sig)
+                keys.append(set_keys(h, size)[0][row])
                 held += len(sig)
-                if held >= _HELD_ROWS:
-                    yield _tied(np.concatenate(sigs), np.concatenate(keys))
+                if held >= most:
+                    yield from _dealt(np.concatenate(sigs), np.concatenate(keys), parts)
                     sigs, keys, held = [], [], 0
         if held:
-            yield _tied(np.concatenate(sigs), np.concatenate(keys))
+            yield from _dealt(np.concatenate(sigs), np.concatenate(keys), parts)
 
     return run
 
 
-def _tied(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+def _ties(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different pairs of a signature and a key in order, which are the first of their signature, and the first's key."""
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
-    new = np.append(True, sig[1:] != sig[:-1])
-    once = new | np.append(True, key[1:] != key[:-1])
-    pivot = key[new][np.cumsum(new) - 1]
-    columns = [pa.array(sig[once]), pa.array(key[once]), pa.array(pivot[once], mask=new[once])]
-    return pa.RecordBatch.from_arrays(columns, ["sig", "key", "pivot"])
+    once = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))[: len(sig)]
+    sig, key = sig[once], key[once]
+    new = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
+    return sig, key, new, key[new][np.cumsum(new) - 1]
+
+
+def _dealt(sig: np.ndarray, key: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    sig, key, new, pivot = _ties(sig, key)
+    row = lambda part, body: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), body], ["part", "body"])
+    if not new.all():
+        yield row(-1 - int(sig[0] % np.uint64(1 << 30)), _packed(sig[~new], key[~new], pivot[~new]))
+    sig, key = sig[new], key[new]
+    part = (sig % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+    for k in np.flatnonzero(np.diff(ends)):
+        own = order[ends[k] : ends[k + 1]]
+        yield row(int(k), _packed(sig[own], key[own]))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by signature and key: ties each node to the smallest of its signature; lone signatures go."""
-    held_sig = held_key = None
+    """Over whole parts: rows ``(sig, key, pivot)`` that tie each node to the smallest of its signature; lone signatures go.
+    A part has about ``_MET_ROWS`` signatures, each at most once for each run of documents."""
+    by_part: dict[int, list[bytes]] = {}
     for batch in batches:
-        sig, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if not len(sig):
-            continue
-        pivot = batch.column(2)
-        tied = ~np.asarray(pivot.is_null())
-        if tied.any():
-            yield _arrow("sig key pivot", sig[tied], key[tied], np.asarray(pivot.fill_null(0))[tied])
-            sig, key = sig[~tied], key[~tied]
-            if not len(sig):
-                continue
-        new = np.append(True, sig[1:] != sig[:-1])
-        first = key[np.flatnonzero(new)]
-        if sig[0] == held_sig:
-            first[0] = held_key
-        low = first[np.cumsum(new) - 1]
-        held_sig, held_key = sig[-1], low[-1]
-        other = key != low
-        yield _arrow("sig key pivot", sig[other], key[other], low[other])
+        for part, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part < 0:
+                yield _arrow("sig key pivot", *_unpacked(body.as_py(), 3))
+            else:
+                by_part.setdefault(part, []).append(body.as_py())
+    for part in list(by_part):
+        sig, key, new, pivot = _ties(*_unpacked(b"".join(by_part.pop(part)), 2))
+        yield _arrow("sig key pivot", sig[~new], key[~new], pivot[~new])
 
 
 def _allowed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -267,8 +296,8 @@ def _allowed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that their sketches do not rule out."""
-    left = sketches.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    right = sketches.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +326,7 @@ def _compared(percent: int, exact: bool):
     of the block, one for each join."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, comp, n, part = (table.column(c).to_numpy() for c in ("key", "comp", "n", "part"))
+        key, comp, n, part = (table.column(c).to_numpy() for c in ("node", "comp", "n", "part"))
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         views = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in table.column(c).combine_chunks()]
         bodies, sets = views("sketch", np.uint8), views("set", np.uint64) if exact else []
@@ -325,16 +354,27 @@ def _compared(percent: int, exact: bool):
                         label[label == label[j]] = label[i]
         if exact:
             return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
-        return table.select(["sig", "low", "high", "part", "key", "comp"]).filter(pa.array(open_))
+        return table.select(["sig", "low", "high", "part", "node", "comp"]).filter(pa.array(open_))
 
     return run
 
 
+def _few(df: DataFrame, row_bytes: int = 16) -> bool:
+    """Whether a table of keys may be broadcast."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of the given nodes."""
+    nodes = written(nodes.distinct())
+    return sets.join(F.broadcast(nodes) if _few(nodes) else nodes, "node", "left_semi")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of keys whose sets are similar enough."""
-    pairs = written(_sketched(pairs, sets, percent))
-    left = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
+    """The pairs ``(a, b)`` of nodes whose sets are similar enough."""
+    pairs = written(_sketched(pairs, sets.select("node", "n", "sketch"), percent))
+    left = _only(sets, pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+    right = _only(sets, pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("set").alias("set_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,28 +387,35 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, column: str, to: str) -> DataFrame:
-    """``rows`` with the component of ``column``; a node without links is its own."""
-    named = labels.select(F.col("node").alias(column), F.col("component").alias(to))
-    return rows.join(named, column, "left").withColumn(to, F.coalesce(to, column))
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` with their ``comp``; a node without links is its own."""
+    named = nodes.join(labels.withColumnRenamed("component", "comp"), "node", "left")
+    return named.withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _left_open(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _left_open(members: DataFrame, wanted: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among members of one signature that lie in different components."""
-    named = _labelled(_labelled(members, labels, "key", "comp"), labels, "pivot", "pivot_comp")
+    known = written(_labelled(wanted.select("key", "node"), labels))
+    named = members.join(known, "key").join(known.select(F.col("key").alias("pivot"), F.col("node").alias("pivot_node"), F.col("comp").alias("pivot_comp")), "pivot")
     split = named.where("comp <> pivot_comp").select("sig").distinct()
-    both = named.select("sig", "key", "comp").union(named.select("sig", F.col("pivot").alias("key"), F.col("pivot_comp").alias("comp")))
+    both = named.select("sig", "node", "comp").union(named.select("sig", "pivot_node", "pivot_comp"))
     groups = written(both.join(split, "sig", "left_semi").distinct())
     # Sets that share one signature often share many: groups of the same members are compared once.
-    same = groups.groupBy("sig").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(key))").alias("x"), F.expr("bit_xor(xxhash64(key, 1))").alias("y"))
+    same = groups.groupBy("sig").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
     chosen = same.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(chosen, "sig").withColumn("part", F.pmod(F.xxhash64("key", F.lit(2)), "blocks").cast("int"))
-    rows = rows.join(sets.select("key", "n", "sketch"), "key")
+    rows = groups.join(chosen, "sig").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
+    rows = rows.join(sets.select("node", "n", "sketch"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    by = ("sig", "low", "high")
-    few = rows.groupBy(*by).applyInArrow(_compared(percent, False), "sig long, low int, high int, part int, key long, comp long")
-    few = written(few).join(sets, "key")
+    by = ["sig", "low", "high"]
+    few = written(rows.groupBy(*by).applyInArrow(_compared(percent, False), "sig long, low int, high int, part int, node long, comp long"))
+    release_table(groups)
+    # And so, again, blocks with the same members left.
+    side = "part - low, low = high"
+    same = few.groupBy(*by).agg(F.count("*").alias("m"), F.expr(f"bit_xor(xxhash64(node, {side}))").alias("x"), F.expr(f"bit_xor(xxhash64(node, 1, {side}))").alias("y"))
+    chosen = same.groupBy("m", "x", "y").agg(F.min(F.struct(*by)).alias("one")).select("one.*")
+    few = written(few.join(chosen, by, "left_semi"))
+    few = few.join(_only(sets, few.select("node")), "node")
     return few.groupBy(*by).applyInArrow(_compared(percent, True), "a long, b long").distinct()
 
 
@@ -382,36 +429,40 @@ def jaccard_components(
     ``percent`` hundredths of the union or more; ``component_id`` is the smallest id reachable by links, itself included.
     Documents without words or text have an empty set and link with nothing. Equal texts are linked at once and never
     expanded into pairs; rows that repeat an id keep their rows. A text without an id links like any other; a null id is a component's name only where
-    no member has an id.
+    no member has an id. ``docs`` is read several times.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
-    digest = written(source.mapInArrow(_digest(shingle), f"id {id_type}, key long, n long"))
-    nodes = written(digest.where("n > 0").groupBy("key").agg(F.min("id").alias("first_id"), F.max("n").alias("n")))
-    largest = nodes.agg(F.max("n")).first()[0] or 1
-    bands_of = (percent, int(largest))
-
-    signed = source.select("text").mapInArrow(_signed(shingle, *bands_of), "sig long, key long, pivot long")
-    spread = F.when(F.col("pivot").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "key"))
-    members = written(
-        signed.repartition(spread)
-        .sortWithinPartitions("sig", "key").mapInArrow(_met, "sig long, key long, pivot long")
-    )
+    digest = written(source.mapInArrow(_digest(shingle), f"id {id_type}, key long, key2 long, n long"))
+    # A node for each different set. Its first row is the one with the smallest id, rows without an id coming last.
+    rows = digest.where("n > 0").groupBy("key", "key2", "id").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "copies"))
+    nodes = rows.groupBy("key", "key2").agg(first.alias("first"), F.max("n").alias("n"))
+    nodes = written(nodes.select("key", "key2", "n", F.col("first.id").alias("first_id"), F.col("first.copies").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    total, largest = digest.agg(F.sum("n"), F.max("n")).first()
+    bands_of = (percent, int(largest or 1))
+
+    # About as many signatures as a pair of sets may differ by, in two bands; dealt into parts that a task sorts in memory.
+    expected = 4 * (total or 0) * (100 - percent) // (100 + percent)
+    tasks = max(1, expected // _MET_ROWS + 1)
+    signed = source.select("text").mapInArrow(_signed(shingle, *bands_of, 3 * tasks), "part int, body binary")
+    members = written(signed.repartition(tasks, "part").mapInArrow(_met, "sig long, key long, pivot long"))
     release(docs.sparkSession)
-    stars = written(members.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
 
     # The sets of the candidates, from the text of their first document.
-    asked = stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()
-    wanted = written(nodes.join(asked, "key", "left_semi").select("key", F.col("first_id").alias("id")))
-    ids = wanted.select("id").distinct()
-    few = wanted.count() <= BROADCAST_IDS
-    picked = source.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
+    tied = members.select("key", "pivot").distinct()
+    asked = tied.select("key").union(tied.select("pivot")).distinct()
+    wanted = written(nodes.join(asked, "key", "left_semi").select("key", "key2", "node", F.col("first_id").alias("id"), "copies"))
+    size = wanted.agg(F.sum(32 + F.coalesce(F.length(F.col("id").cast("string")), F.lit(0)))).first()[0] or 0
+    held = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
+    picked = source.join(held(wanted.select("id").distinct()), "id", "left_semi").select("text")
+    repeated = not wanted.where("id is not null and copies > 1").isEmpty()
     # Texts that stand only in rows without an id are picked by their key, once each.
-    unnamed = wanted.where("id is null").select("key")
+    unnamed = wanted.where("id is null").select("key", "key2")
     if not unnamed.isEmpty():
-        keyed = source.where("id is null").select("text").mapInArrow(_keyed(shingle), "key long, text string")
-        found = keyed.join(F.broadcast(unnamed) if few else unnamed, "key", "left_semi")
-        picked = picked.union(found.dropDuplicates(["key"]).select("text"))
+        keyed = source.where("id is null").select("text").mapInArrow(_keyed(shingle), "key long, key2 long, text string")
+        found = keyed.join(held(unnamed), ["key", "key2"], "left_semi")
+        picked = picked.union(found.dropDuplicates(["key", "key2"]).select("text"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,23 +471,28 @@ def jaccard_components(
                 at = np.concatenate([[0], np.cumsum(size)])
                 own = [h[at[k] : at[k + 1]] for k in range(len(size))]
                 body, short = [x.tobytes() for x in own], [sketch(x, percent) for x in own]
-                columns = [pa.array(set_keys(h, size).view(np.int64)), pa.array(size), pa.array(short, pa.binary()), pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "sketch", "set"])
+                columns = [*map(_signed_column, set_keys(h, size)), pa.array(size), pa.array(short, pa.binary()), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "key2", "n", "sketch", "set"])
 
-    # A repeated id may bring other texts; each key stays once, and only if it was asked for.
-    sets = picked.mapInArrow(sets_of, "key long, n long, sketch binary, set binary").dropDuplicates(["key"])
-    sets = written(sets.join(wanted.select("key"), "key", "left_semi"))
+    # A repeated id may bring other texts: only those asked for stay, and each once.
+    sets = picked.mapInArrow(sets_of, "key long, key2 long, n long, sketch binary, set binary")
+    sets = sets.join(held(wanted.select("key", "key2", "node")), ["key", "key2"]).select("node", "n", "sketch", "set")
+    sets = written(sets.dropDuplicates(["node"]) if repeated else sets)
 
-    links = written(_verify(stars, sets, percent))
+    by_key = wanted.select("key", "node")
+    stars = tied.join(by_key, "key").select("pivot", F.col("node").alias("a")).join(by_key.select(F.col("key").alias("pivot"), F.col("node").alias("b")), "pivot")
+    links = written(_verify(stars.where("a <> b").select("a", "b"), sets, percent))
     labels = written(connected(links))
-    more = written(_left_open(members, labels, sets, percent))
+    more = written(_left_open(members, wanted, labels, sets, percent))
+    for table in (members, sets, wanted):
+        release_table(table)
     if not more.isEmpty():
         labels = written(connected(links.union(more)))
 
-    named = written(_labelled(nodes.select("key", "first_id"), labels, "key", "comp"))
+    named = written(_labelled(nodes.select("key", "key2", "node", "first_id"), labels))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    by_key = written(named.join(names, "comp").select("key", "component_id"))
-    return (
-        digest.join(by_key.withColumnRenamed("key", "own"), (F.col("key") == F.col("own")) & (F.col("n") > 0), "left")
-        .select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    )
+    own = written(named.join(names, "comp").select(F.col("key").alias("own"), F.col("key2").alias("own2"), "component_id"))
+    for table in (nodes, named, links, more, labels):
+        release_table(table)
+    same = (F.col("key") == F.col("own")) & (F.col("key2") == F.col("own2")) & (F.col("n") > 0)
+    return digest.join(own, same, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -1,14 +1,17 @@
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from millrace.llm import bpe, bytekernels, decontaminate, embedding_dedup, html_extract, line_dedup, ngram_join, quality, secrets, token_counts, toxicity
 from tests.llm import brute
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+SMALL = "/root/testdata/sf0.001"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
 
@@ -151,6 +154,8 @@ class TestJaccard:
     @pytest.mark.parametrize(("shingle", "percent"), [(4, 85), (5, 80)])
     def test_equals_brute_force(self, spark, shingle, percent, monkeypatch):
         monkeypatch.setattr(ngram_join, "BLOCK", 5)
+        monkeypatch.setattr(ngram_join, "_HELD_ROWS", 700)
+        monkeypatch.setattr(ngram_join, "_MET_ROWS", 2000)
         rows = list(enumerate(self.near()))
         df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string").repartition(3)
         got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, shingle=shingle, percent=percent).collect()}
@@ -191,8 +196,8 @@ class TestJaccard:
         df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
         as_numbered = brute.jaccard_components([(k, t) for k, (_, t) in enumerate(texts)], 5, 80)
         assert as_numbered[2][1] == 0 and brute.jaccard_components([(0, texts[0][1]), (1, texts[2][1])], 5, 80)[1][1] == 1
-        for most in (ngram_join.BROADCAST_IDS, 0):
-            monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+        for most in (ngram_join.BROADCAST_BYTES, 0):
+            monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", most)
             got = ngram_join.jaccard_components(df).collect()
             assert sorted((r.id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 0), (0, 1), (0, 1), (1, 1), (2, 1), (7, 7)]
 
@@ -270,6 +275,39 @@ class TestHtml:
             assert {"Title", "A short line, in a div.", "Sub", "1"} <= set(out) and not {"Nice", "Agree", "Me too"} & set(out)
         assert html_extract.extract(f"<article>{body}</article><div><p>Other text, outside; rather long, and more.</p></div>") == "\n".join([text] * 3)
 
+    def test_names_are_a_prior_that_ratios_can_overrule(self):
+        text = "First paragraph, with text; it goes on, and on, and on. More of it, again and again, as long as it takes, and then some more of it, at last."
+        page = f"<div class='ad'>{{}}</div><div class='page'><p>{text}</p><p>{text}</p></div><div class='comments'><p>{text}</p></div>"
+        assert html_extract.extract(page.format("Buy this, now.")) == f"{text}\n{text}"
+        # A name on an element that holds the page's text does not take it away; short text there stays away.
+        assert html_extract.extract(f"<div id='sidebar-left'><p>{text}</p><p>{text}</p></div>") == f"{text}\n{text}"
+        assert html_extract.extract("<div class='ad'>Buy this, now.</div>") == ""
+
+    def test_ratios_equal_brute_force(self):
+        rng, pages = random.Random(4), []
+        for k in range(60):
+            own = [f"<{t}{a}>{text(100 * k + j, rng.randrange(1, 60))}{rng.choice(['', '.', ', yes; no.'])}</{t}>" for j, (t, a) in enumerate((rng.choice(["p", "li", "div", "h2", "td"]), rng.choice(["", "", " class='promo'", " id=comments"])) for _ in range(rng.randrange(1, 14)))]
+            cut = rng.randrange(len(own) + 1)
+            pages.append("".join(own[:cut]) + rng.choice(["<article>", "<main>", "<section>"]) + "".join(own[cut:]))
+        if os.path.isdir(SMALL):
+            pages += pq.read_table(f"{SMALL}/pages.parquet")["html"].to_pylist()
+        changed = 0
+        for page in pages:
+            paths, found = html_extract.blocks(page)
+            keep = html_extract.content_paths(paths, found)
+            assert keep == brute.content_paths([(p, t, inside, paths.named[p]) for p, t, inside in found])
+            changed += len(keep) < len({p for p, _, _ in found})
+        assert changed > 40
+
+    def test_malformed_attributes_and_depth(self):
+        text = "Hello there, and more."
+        for tag in ("<p title=it's>", "<p title='>'>", '<p title="a>b" x>', "<p a=b'c\"d>", "<p ' \" x>", '<p title="open>', "<p =x>", "<p/>"):
+            assert html_extract.extract(f"{tag}{text}</p><p>{text}</p>") == f"{text}\n{text}"
+        began = time.perf_counter()
+        assert html_extract.extract("<div>a, b. " * 20_000).count("\n") == 19_999
+        html_extract.extract("</p>" * 20_000 + "<b>" * 20_000 + "<i x='" * 20_000 + "<" * 20_000)
+        assert time.perf_counter() - began < 10
+
     def test_hidden_is_an_attribute_not_a_word_in_a_value(self):
         text = "First paragraph, with text; it goes on, and on."
         for shown in ('data-title="The hidden cost of rent"', "aria-label='a hidden gem'", 'title="display: none explained"', "title = hidden", 'data-hidden="x"', 'style="color: red"'):
@@ -280,9 +318,10 @@ class TestHtml:
     def test_edges(self, spark):
         assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<div><br></div>") == ""
         assert html_extract.extract("plain &lt;text&gt;, no tags.") == "plain <text>, no tags."
-        df = spark.createDataFrame([(1, "u", None, 5), (2, "u", "<p>" * 3000 + "deep, text.", 5)], "page_id long, url string, html string, n_chars int")
-        got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract_pages(df).collect()}
-        assert got == {1: ("", 0), 2: ("deep, text.", 11)}
+        rows = [(1, "u", None, 5), (2, "u", "<p>" * 3000 + "deep, text.", 5), (3, None, "", 5), (4, "u", "<p></p>", 5), (None, "u", "<article></article>", 5), (2, "u", "<p>" * 3000 + "deep, text.", 5)]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+        got = [(r.page_id, r.text, r.n_chars) for r in html_extract.extract_pages(df).collect()]
+        assert sorted(got, key=str) == sorted([(1, "", 0), (2, "deep, text.", 11), (3, "", 0), (4, "", 0), (None, "", 0), (2, "deep, text.", 11)], key=str)
         assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
@@ -324,8 +363,6 @@ class TestClassifiers:
         assert all(r.p_toxic < 0.5 for r in toxicity.score(docs, none).collect())
 
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 def test_queries_have_their_columns(spark):

@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,13 @@ from millrace.llm import bytekernels as bk
 
 #: The byte-level pre-tokenizer's pattern (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and pairs remembered by a Python worker; the memory starts anew when it is full.
-WORD_MEMORY = 200_000
+#: Bytes of words (with what Python adds to each) and pairs remembered by a task; the memory starts anew when it is full.
+WORD_BYTES = 48 << 20
 PAIR_MEMORY = 500_000
+_WORD_COST = 240
+#: Texts up to this length are cut into words at once, longer ones run by run.
+_AT_ONCE = 1 << 20
+_RUN = 100_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -56,7 +61,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes; one for each Python worker."""
+    """Encodes and decodes; one for each task, whose memory goes with it."""
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
@@ -79,7 +84,7 @@ class Encoder:
         added = self.vocabulary.added
         self.number: dict[str, int] = {"\0" + name: k for k, name in enumerate(added)}  # no word holds both a NUL and letters
         self._lengths, self._tokens = np.ones(len(added), np.int64), np.array(list(added.values()), np.uint32)
-        self._starts = np.arange(len(added))
+        self._starts, self._held = np.arange(len(added)), 0
 
     def _forget_pairs(self) -> None:
         self._pairs, self._fits = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -153,65 +158,72 @@ class Encoder:
         if len(pairs):
             for k in np.unique(owner[:-1][inside][~self._compatible(pairs)]).tolist():
                 proposed[k] = self.merged(raw[k])
+        self._held += sum(map(len, words)) + sum(map(len, proposed)) * 4 + _WORD_COST * len(words)
         self.number.update(zip(words, range(len(self._lengths), len(self._lengths) + len(words)), strict=True))
         lengths = np.array([len(p) for p in proposed])
         self._starts = np.concatenate([self._starts, len(self._tokens) + np.cumsum(lengths) - lengths])
         self._lengths = np.concatenate([self._lengths, lengths])
         self._tokens = np.concatenate([self._tokens, np.fromiter((i for p in proposed for i in p), np.uint32, int(lengths.sum()))])
 
-    def words(self, text: str) -> list[str]:
-        if not self.cut or not any(name in text for name in self.vocabulary.added):
-            return self.pattern.findall(text)
-        out = []
-        for k, part in enumerate(self.cut.split(text)):
-            out += ["\0" + part] if k % 2 else self.pattern.findall(part)
-        return out
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All token ids, and where each text's begin (and the last ends)."""
-        by_text = [self.words(t) if t else [] for t in texts]
-        flat = [w for ws in by_text for w in ws]
-        if len(self.number) > WORD_MEMORY:
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, in runs of bounded number; an added token stands as itself after a NUL."""
+        whole = not self.cut or not any(name in text for name in self.vocabulary.added)
+        for k, part in enumerate([text] if whole else self.cut.split(text)):
+            if k % 2:
+                yield ["\0" + part]
+            elif len(part) <= _AT_ONCE:
+                yield self.pattern.findall(part)
+            else:
+                found = (m[0] for m in self.pattern.finditer(part))
+                while run := list(islice(found, _RUN)):
+                    yield run
+
+    def _tokens_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of some words, and where each word's begin (and the last ends)."""
+        if self._held > WORD_BYTES:
             self._forget()
-        if new := list(set(flat).difference(self.number)):
+        if new := list(set(words).difference(self.number)):
             self._learn(new)
-        number = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         count = self._lengths[number]
         ends = np.concatenate([[0], np.cumsum(count)])
         at = np.arange(ends[-1]) + np.repeat(self._starts[number] - ends[:-1], count)
-        return self._tokens[at], ends[np.concatenate([[0], np.cumsum([len(w) for w in by_text])]).astype(np.int64)]
+        return self._tokens[at], ends
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All token ids, and where each text's begin (and the last ends)."""
+        # Words of short texts are looked up together; when many have come together, what there is becomes tokens.
+        tokens, counts, waiting, owner = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64), [], []
+
+        def settle() -> None:
+            own, ends = self._tokens_of([w for ws in waiting for w in ws])
+            tokens.append(own)
+            np.add.at(counts, owner, np.diff(ends[np.concatenate([[0], np.cumsum([len(ws) for ws in waiting])]).astype(np.int64)]))
+            waiting.clear()
+            owner.clear()
+
+        held = 0
+        for k, text in enumerate(texts):
+            for run in self.words(text) if text else ():
+                waiting.append(run)
+                owner.append(k)
+                held += len(run)
+                if held >= 4 * _RUN:
+                    settle()
+                    held = 0
+        if waiting:
+            settle()
+        return np.concatenate(tokens), np.concatenate([[0], np.cumsum(counts)])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens; bytes that are not UTF-8 become replacement characters."""
-        count = self._at[ids.astype(np.int64) + 1] - self._at[ids]
-        ends = np.cumsum(count)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._at[ids] - (ends - count), count)
-        return self._blob[at].tobytes().decode("utf-8", "replace").encode()
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder_of(vocabulary: Vocabulary) -> Encoder:
-    """The worker's encoder: made once and kept between tasks."""
-    if vocabulary.name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[vocabulary.name] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary.name]
-
-
-def _runs(column: pa.Array, limit: int = 2 * bk.SLICE_BYTES) -> Iterator[list[str | None]]:
-    """Runs of whole texts of about ``limit`` bytes."""
-    run, size = [], 0
-    for text in column:
-        text = text.as_py()
-        run.append(text)
-        size += len(text or "")
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+        parts = []
+        for k in range(0, len(ids), 10 * _RUN):
+            own = ids[k : k + 10 * _RUN].astype(np.int64)
+            count = self._at[own + 1] - self._at[own]
+            ends = np.cumsum(count)
+            parts.append(self._blob[np.arange(ends[-1]) + np.repeat(self._at[own] - (ends - count), count)].tobytes())
+        return b"".join(parts).decode("utf-8", "replace").encode()
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decode: bool = False, ids: bool = True) -> DataFrame:
@@ -219,7 +231,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decode:
     ``input_ids`` if ``ids``, and ``decoded`` if ``decode``.
 
     Added tokens that occur in a text become their ids; none are put around it. A null text is read as empty and has no
-    tokens. Input columns named like the new ones are replaced. Rows stay where they are: there is no shuffle.
+    tokens. Input columns named like the new ones are replaced; equal rows stay apart. Rows stay where they are: there is no
+    shuffle. Beside a batch, a task holds its text of the moment, the tokens of it, and a memory of bounded bytes.
     """
     new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType())]
     new += [("input_ids", T.ArrayType(T.IntegerType(), False))] * ids + [("decoded", T.StringType())] * decode
@@ -229,10 +242,9 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decode:
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(held.value)
+        encoder = Encoder(held.value)
         for batch in batches:
-            at = 0
-            for texts in _runs(batch.column(text_at)):
+            for at, texts in bk.texts(batch.column(text_at)):
                 tokens, ends = encoder.encode(texts)
                 own = [tokens[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 columns = [pa.array(np.diff(ends).astype(np.int64)), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own], pa.string())]
@@ -241,7 +253,6 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decode:
                 if decode:
                     columns.append(pa.array([encoder.decode(x).decode() for x in own], pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, *columns], names)
-                at += len(texts)
 
     return docs.mapInArrow(run, schema)
 
@@ -254,7 +265,7 @@ def decode(tokens: DataFrame, tokenizer_path: str, ids_col: str = "input_ids") -
     held = tokens.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(held.value)
+        encoder = Encoder(held.value)
         for batch in batches:
             out = [encoder.decode(np.array(x.as_py() or [], np.int64)).decode() for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], schema.names)

@@ -51,6 +51,20 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
             at = to
 
 
+def texts(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str | None]]]:
+    """``(first row, texts)`` for runs of whole texts of about ``limit`` letters."""
+    run, size, at = [], 0, 0
+    for text in column:
+        text = text.as_py()
+        run.append(text)
+        size += len(text or "") + 64
+        if size >= limit:
+            yield at, run
+            at, run, size = at + len(run), [], 0
+    if run:
+        yield at, run
+
+
 def mix_again(h: np.ndarray) -> np.ndarray:
     """As ``mix``, by other numbers."""
     h = h ^ (h >> np.uint64(30))

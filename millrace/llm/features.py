@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 from operator import eq
 
 import numpy as np
@@ -11,8 +12,13 @@ import numpy as np
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _REPEAT = "\0repeat"
-#: Tokens remembered by a worker; the memory starts anew when it is full.
-TOKEN_MEMORY = 100_000
+#: Tokens remembered by a task, and the length up to which they are; the memory starts anew when it is full.
+TOKEN_MEMORY = 50_000
+TOKEN_LENGTH = 64
+#: Texts up to this length are cut into tokens at once, longer ones run by run.
+_AT_ONCE = 1 << 20
+_RUN = 100_000
+_TOKEN = re.compile(r"\S+")
 
 
 def words_and_marks(token: str) -> list[str]:
@@ -41,41 +47,73 @@ def with_beginnings(token: str) -> list[str]:
     return out
 
 
+def token_runs(text: str | None) -> Iterator[list[str]]:
+    """The tokens between white space, in runs of bounded number."""
+    if len(text or "") <= _AT_ONCE:
+        yield (text or "").split()
+        return
+    found = (m[0] for m in _TOKEN.finditer(text))
+    while run := list(islice(found, _RUN)):
+        yield run
+
+
 class Numbered:
-    """Numbers the parts of tokens; a part without a number is left out."""
+    """Numbers the parts of tokens; a part without a number is left out. A word beginning (``b:``) that several different tokens
+    share is a part of its own (``t:``)."""
 
     def __init__(self, parts: Callable[[str], list[str]], number: Callable[[str], int | None]):
         self.parts, self.number, self.known = parts, number, {}
 
-    def _of(self, token: str) -> tuple[int, ...]:
+    def _numbers(self, parts: list[str]) -> tuple[int, ...]:
+        return tuple(i for p in parts if (i := self.number(p)) is not None)
+
+    def _of(self, token: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The numbers of the parts, and of what its beginnings are when shared."""
         if (got := self.known.get(token)) is None:
-            if len(self.known) >= TOKEN_MEMORY:
-                self.known.clear()
-            got = self.known[token] = tuple(i for p in self.parts(token) if (i := self.number(p)) is not None)
+            parts = self.parts(token)
+            got = self._numbers(parts), self._numbers(["t" + p[1:] for p in dict.fromkeys(parts) if p[0] == "b"])
+            if len(token) <= TOKEN_LENGTH:
+                if len(self.known) >= TOKEN_MEMORY:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
     def sequence(self, text: str | None) -> np.ndarray:
         """The numbers of all parts in reading order; a token equal to the one before also counts as a repeat."""
-        tokens = (text or "").split()
-        out: list[int] = []
+        runs: list[np.ndarray] = []
         before = None
-        for t in tokens:
-            out.extend(self._of(t))
-            if t == before:
-                out.extend(self._of(_REPEAT))
-            before = t
-        return np.array(out, np.int64)
+        for tokens in token_runs(text):
+            out: list[int] = []
+            for t in tokens:
+                out.extend(self._of(t)[0])
+                if t == before:
+                    out.extend(self._of(_REPEAT)[0])
+                before = t
+            runs.append(np.array(out, np.int64))
+        return runs[0] if len(runs) == 1 else np.concatenate([np.zeros(0, np.int64), *runs])
 
     def distinct(self, text: str | None) -> list[int]:
         """The numbers of the distinct parts; the repeat counts from a fifth of the tokens on."""
-        tokens = (text or "").split()
-        same = sum(map(eq, tokens, tokens[1:]))
+        different: set[str] = set()
+        same = n = 0
+        before = None
+        for tokens in token_runs(text):
+            same += sum(map(eq, tokens, tokens[1:])) + (tokens[:1] == [before])
+            n += len(tokens)
+            different.update(tokens)
+            before = tokens[-1] if tokens else before
         found: set[int] = set()
-        for t in set(tokens):
-            if got := self._of(t):
-                found.update(got)
-        if same * 5 >= len(tokens) > 1:
-            found.update(self._of(_REPEAT))
+        once: set[int] = set()
+        for t in different:
+            own, shared = self._of(t)
+            if own:
+                found.update(own)
+            for i in shared:
+                if i in once:
+                    found.add(i)
+                once.add(i)
+        if same * 5 >= n > 1:
+            found.update(self._of(_REPEAT)[0])
         return sorted(found)
 
 
@@ -83,10 +121,3 @@ def flattened(lists: list) -> tuple[np.ndarray, np.ndarray]:
     """One array of all items and where each list begins (and the last ends)."""
     ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     return (np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64)), ends
-
-
-def texts_of(batch, column: int) -> Iterator[str | None]:
-    for x in batch.column(column):
-        yield x.as_py()
-
-

@@ -1,9 +1,9 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network with calibrated probabilities.
 
 Every part of a token falls into one of ``BUCKETS`` hash buckets. A bucket's index vector is sparse and random; its context
-vector is the sum of the index vectors near its occurrences in the labelled sample. A document is the mean of the unit context
-vectors of its parts, in a table of fixed size. The network is trained on part of the sample, and the temperature of its
-probabilities on the rest. The sample is bounded (``max_labelled``); every document is scored in its task, without a shuffle.
+vector is the sum of the index vectors near its occurrences in all documents. A document is the mean of the unit context
+vectors of its parts, in a table of fixed size. The network is trained on part of a bounded sample of labelled rows
+(``max_labelled``), and the temperature of its probabilities on the rest. Every document is scored in its task, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import written
-from millrace.llm.features import Numbered, flattened, texts_of, words_and_marks
+from millrace.llm import bytekernels as bk
+from millrace.llm.common import release_table, written
+from millrace.llm.features import Numbered, flattened, words_and_marks
 from millrace.llm.toxicity import labelled_sample
 
 MAX_LABELLED = 10_000
@@ -28,7 +29,8 @@ WIDTH = 64
 NONZERO = 6
 WINDOW = 2
 HIDDEN = 32
-_SLICE = 60_000
+_SLICE = 1_000_000
+_POOLED = 60_000
 
 
 def bucket(part: str) -> int:
@@ -37,21 +39,41 @@ def bucket(part: str) -> int:
 
 def index_vectors() -> np.ndarray:
     """The sparse ternary index vector of each bucket; always the same."""
-    rng, out = np.random.default_rng(20_240_611), np.zeros((BUCKETS, WIDTH), np.float32)
-    for k in range(NONZERO):
-        out[np.arange(BUCKETS), rng.integers(0, WIDTH, BUCKETS)] += 1 if k % 2 else -1
+    out = np.zeros((BUCKETS, WIDTH), np.float32)
+    for k, place in enumerate(_places()):
+        out[np.arange(BUCKETS), place] += 1 if k % 2 else -1
     return out
 
 
+def _places() -> list[np.ndarray]:
+    """For each of the ``NONZERO`` marks, its place in each bucket's index vector; every second one is negative."""
+    rng = np.random.default_rng(20_240_611)
+    return [rng.integers(0, WIDTH, BUCKETS) for _ in range(NONZERO)]
+
+
+def _near(buckets: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """The sums of the index vectors near each bucket, ``BUCKETS`` times ``WIDTH`` in one; a negative bucket ends a text."""
+    sums = np.zeros(BUCKETS * WIDTH, np.int64)
+    for gap in range(1, WINDOW + 1):
+        a, b = buckets[gap:], buckets[:-gap]
+        # Two buckets are near if no end of a text lies between them.
+        same = np.logical_and.reduce([buckets[k : len(buckets) - gap + k] >= 0 for k in range(gap + 1)])
+        a, b = a[same] * WIDTH, b[same] * WIDTH
+        for k, place in enumerate(places):
+            for one, other in ((a, b), (b, a)):
+                sums += (1 if k % 2 else -1) * np.bincount(one + place[other // WIDTH], minlength=len(sums))
+    return sums
+
+
 def _pooled(table: np.ndarray, texts: list[str | None], parts: Numbered) -> np.ndarray:
     out = np.zeros((len(texts), WIDTH))
     flat, ends = flattened([parts.sequence(t) for t in texts])
     n = np.diff(ends)
     row = np.repeat(np.arange(len(texts)), n)
-    for at in range(0, len(flat), _SLICE):
-        r = row[at : at + _SLICE]
+    for at in range(0, len(flat), _POOLED):
+        r = row[at : at + _POOLED]
         first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        out[r[first]] += np.add.reduceat(table[flat[at : at + _SLICE]], first, axis=0)
+        out[r[first]] += np.add.reduceat(table[flat[at : at + _POOLED]], first, axis=0)
     return out / np.maximum(n, 1)[:, None]
 
 
@@ -115,21 +137,37 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     sample = written(texts.join(F.broadcast(labelled_sample(wanted, "id", max_labelled)), "id").select("text", "y"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, parts, sums = index_vectors(), Numbered(words_and_marks, bucket), np.zeros((BUCKETS, WIDTH), np.float32)
-        seen = np.zeros(BUCKETS, bool)
+        places, parts, sums, seen = _places(), Numbered(words_and_marks, bucket), np.zeros(BUCKETS * WIDTH, np.int64), np.zeros(BUCKETS, bool)
+        held, size, stop = [], 0, np.full(1, -1)
+
+        def settle() -> None:
+            nonlocal size
+            every = np.concatenate(held)
+            seen[every[every >= 0]] = True
+            # Runs overlap by the window, whose own pairs were counted before.
+            for at in range(0, len(every), _SLICE):
+                sums[:] += _near(every[max(0, at - WINDOW) : at + _SLICE], places)
+                if at:
+                    sums[:] -= _near(every[max(0, at - WINDOW) : at], places)
+            held.clear()
+            size = 0
+
         for batch in batches:
-            for text in texts_of(batch, 0):
-                s = parts.sequence(text)
-                for at in range(0, len(s), _SLICE):
-                    own = s[max(0, at - WINDOW) : at + _SLICE]
-                    seen[own] = True
-                    for gap in range(1, WINDOW + 1):
-                        np.add.at(sums, own[gap:], index[own[:-gap]])
-                        np.add.at(sums, own[:-gap], index[own[gap:]])
+            for _, texts in bk.texts(batch.column(0)):
+                for text in texts:
+                    held += [parts.sequence(text), stop]
+                    size += len(held[-2]) + 1
+                if size >= _SLICE // 2:
+                    settle()
+        if held:
+            settle()
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(sums[at].astype(np.float64)), pa.list_(pa.float64()))], ["bucket", "v"])
+        for k in range(0, len(at), 4096):
+            own = at[k : k + 4096]
+            v = pa.FixedSizeListArray.from_arrays(pa.array(sums.reshape(BUCKETS, WIDTH)[own].ravel()), WIDTH).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), v], ["bucket", "v"])
 
-    partial = sample.select("text").mapInArrow(contexts, "bucket int, v array<double>")
+    partial = docs.select(F.col(text_col)).mapInArrow(contexts, "bucket int, v array<long>")
     merged = partial.groupBy("bucket").agg(*(F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(WIDTH))).toPandas()
     table = index_vectors()
     table[merged["bucket"].to_numpy(int)] += merged[[f"v{k}" for k in range(WIDTH)]].to_numpy(np.float32)
@@ -140,10 +178,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Numbered(words_and_marks, bucket)
         for batch in batches:
-            x = _pooled(held.value, list(texts_of(batch, 0)), parts)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            for at, texts in bk.texts(batch.column(0)):
+                x = _pooled(held.value, texts, parts)
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).slice(at, len(texts))], ["x", "y"])
 
     rows = sample.mapInArrow(pooled, "x array<double>, y double").toPandas()
+    release_table(sample)
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, WIDTH))
     return fit_network(table, x, rows["y"].to_numpy(float))
 
@@ -152,7 +192,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "
     """Every column of ``docs`` with ``score``, the calibrated probability of label 1 (0 to 1).
 
     A null or empty text pools to the zero vector and gets that vector's score. An input column named like the new one is
-    replaced.
+    replaced; equal rows stay apart. Of a long text, a task holds the buckets of its parts, eight bytes each.
     """
     docs = docs.drop(column)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
@@ -161,7 +201,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, parts = held.value, Numbered(words_and_marks, bucket)
         for batch in batches:
-            p = m.probability(_pooled(m.table, list(texts_of(batch, at)), parts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], schema.names)
+            for first, texts in bk.texts(batch.column(at)):
+                p = m.probability(_pooled(m.table, texts, parts))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, pa.array(p)], schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import written
-from millrace.llm.features import Numbered, flattened, texts_of, with_beginnings
+from millrace.llm import bytekernels as bk
+from millrace.llm.common import release_table, written
+from millrace.llm.features import Numbered, flattened, with_beginnings
 
 MAX_LABELLED = 8_000
 FEATURES = 1_000
@@ -113,7 +114,8 @@ def fit_chain(categories: Sequence[str], names: dict[str, int], own: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Chain:
-    """A chain over the label columns ``categories`` (0, 1 or null), in that order."""
+    """A chain over the label columns ``categories`` (0, 1 or null), in that order. A row whose label is null says nothing about
+    that category. Labels without a text and texts without a label are left out; without labels every probability is small."""
     k = len(categories)
     wanted = labelled_sample(labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(categories))).where("id is not null"), "id", max_labelled)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -121,26 +123,33 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names: dict[str, int] = {}
-            parts = Numbered(with_beginnings, lambda p: names.setdefault(p, len(names)))
-            flat, ends = flattened([parts.distinct(t) for t in texts_of(batch, 0)])
-            row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            y = np.nan_to_num(np.column_stack([np.asarray(batch.column(1 + i)).astype(float) for i in range(k)]))
-            sums = [np.bincount(flat, minlength=len(names))] + [np.bincount(flat, y[row, i], len(names)) for i in range(k)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), *(pa.array(s.astype(np.float64)) for s in sums)], ["part", "n", *(f"p{i}" for i in range(k))])
-
-    counts = sample.mapInArrow(counted, "part string, n double, " + ", ".join(f"p{i} double" for i in range(k)))
-    counts = written(counts.groupBy("part").agg(F.sum("n").alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(k))).where(F.col("n") >= MIN_DOCS))
-    total = sample.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in range(k))).first()
+            for at, texts in bk.texts(batch.column(0)):
+                names: dict[str, int] = {}
+                parts = Numbered(with_beginnings, lambda p, names=names: names.setdefault(p, len(names)))
+                flat, ends = flattened([parts.distinct(t) for t in texts])
+                row = at + np.repeat(np.arange(len(texts)), np.diff(ends))
+                sums = []
+                for i in range(k):
+                    y = np.asarray(batch.column(1 + i)).astype(float)[row]
+                    sums += [np.bincount(flat, ~np.isnan(y), len(names)), np.bincount(flat, np.nan_to_num(y), len(names))]
+                some = np.bincount(flat, minlength=len(names)) > 0  # a beginning has a number before it is shared
+                columns = [pa.array(list(names), pa.string()), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", *(f"{x}{i}" for i in range(k) for x in "np")]).filter(pa.array(some))
+
+    sums = [f"{x}{i}" for i in range(k) for x in "np"]
+    counts = sample.mapInArrow(counted, "part string, " + ", ".join(f"{c} double" for c in sums))
+    counts = written(counts.groupBy("part").agg(*(F.sum(c).alias(c) for c in sums)).where(F.greatest(F.lit(0), *(F.col(f"n{i}") for i in range(k))) >= MIN_DOCS))
+    total = sample.agg(*(f(f"c{i}").alias(f"{x}{i}") for i in range(k) for x, f in (("n", F.count), ("c", lambda c: F.coalesce(F.sum(c), F.lit(0.0)))))).first()
     picked: list[set[str]] = [set() for _ in categories]
     for i in range(k):
-        n, ones = total["n"], total[f"c{i}"]
+        n, ones = total[f"n{i}"], total[f"c{i}"]
         if not 0 < ones < n:
             continue
-        share = F.col("n") / n
-        gap = F.col(f"p{i}") / ones - (F.col("n") - F.col(f"p{i}")) / (n - ones)
+        here = F.col(f"n{i}")
+        share = here / n
+        gap = F.col(f"p{i}") / ones - (here - F.col(f"p{i}")) / (n - ones)
         told = F.abs(gap) / F.sqrt(share * (1 - share) + 1e-9) * (ones * (n - ones) / n) ** 0.5
-        best = counts.select("part", told.alias("told")).where(F.col("told") >= MIN_Z).orderBy(F.desc("told"), "part").limit(FEATURES)
+        best = counts.where(here >= MIN_DOCS).select("part", told.alias("told")).where(F.col("told") >= MIN_Z).orderBy(F.desc("told"), "part").limit(FEATURES)
         picked[i].update(r.part for r in best.collect())
     names = {p: i for i, p in enumerate(sorted(set().union(*picked)))}
     own = np.array([[p in mine for p in names] for mine in picked], float).reshape(k, len(names))
@@ -148,10 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Numbered(with_beginnings, names.get)
         for batch in batches:
-            found = [parts.distinct(t) for t in texts_of(batch, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *batch.columns[1:]], ["found", *batch.schema.names[1:]])
+            for at, texts in bk.texts(batch.column(0)):
+                found = [parts.distinct(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *batch.slice(at, len(texts)).columns[1:]], ["found", *batch.schema.names[1:]])
 
     rows = sample.mapInArrow(numbered, "found array<int>, " + ", ".join(f"c{i} double" for i in range(k))).toPandas()
+    for table in (sample, counts):
+        release_table(table)
     flat, ends = flattened(list(rows["found"]))
     return fit_chain(categories, names, own, flat, ends, rows[[f"c{i}" for i in range(k)]].to_numpy(float))
 
@@ -160,7 +172,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "
     """Every column of ``docs`` with a probability ``p_<category>`` for each category of the chain.
 
     A null or empty text has no parts and gets the probability of a text without features. Input columns named like the
-    new ones are replaced.
+    new ones are replaced; equal rows stay apart. Of a long text, a task holds the different tokens.
     """
     new = [prefix + c for c in chain.categories]
     docs = docs.drop(*new)
@@ -171,9 +183,9 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "
         model = held.value
         parts = Numbered(with_beginnings, model.names.get)
         for batch in batches:
-            flat, ends = flattened([parts.distinct(t) for t in texts_of(batch, at)])
-            p = model.predict(flat, ends)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, i]) for i in range(p.shape[1]))], schema.names)
+            for first, texts in bk.texts(batch.column(at)):
+                p = model.predict(*flattened([parts.distinct(t) for t in texts]))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, *(pa.array(p[:, i]) for i in range(p.shape[1]))], schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -94,3 +94,22 @@ def test_near_duplicates_bind_rows_not_ids(spark, sf_dir):
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     want = [(3, x), (5, y), (6, z), (None, text(34, 40)), (8, None), (8, None), (None, "")]
     assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
+def test_extra_columns_and_empty_tables(spark, sf_dir, tmp_path):
+    names = "n_lines n_dropped kept_sha256 p_toxic n_words n_hit item_ids row_key node key".split()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    more = docs.selectExpr("*", *(f"concat('own ', doc_id) AS {n}" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, sf_dir)
+        rows = out.collect()
+        assert out.columns == more.columns and len(rows) > 40
+        assert all(r[n] == f"own {r.doc_id}" for r in rows for n in names)
+    folder = str(tmp_path)
+    docs.limit(0).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    # Without labels and benchmark nothing is rejected for them.
+    for name in ("toxicity", "benchmark decontamination"):
+        assert dict(corpus_pipeline.STAGES)[name](spark, docs, folder).count() == docs.count()

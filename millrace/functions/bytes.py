@@ -1,10 +1,18 @@
-"""Column functions over BINARY payloads, built from Spark's own functions only. Null in, null out."""
+"""Column functions over BINARY payloads. Null in, null out.
+
+``detect`` is an expression of Spark's own functions; what has to look at every byte works on whole Arrow buffers.
+"""
 
 from __future__ import annotations
 
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import buffers
+
 #: Leading bytes (hexadecimal) of each format, in the order they are tried.
 MAGIC = (
     ("xz", "FD377A585A00"),
@@ -17,59 +25,41 @@ MAGIC = (
     ("gzip", "1F8B"),
 )
 
-
-#: The code lengths in bits of RFC 7541's string Huffman code, for the bytes 0 to 255, as (length, bytes).
+#: The code lengths in bits of RFC 7541's string Huffman code, for the bytes 0 to 255 in order.
 H2_LENGTHS = (
-    (5, "30 31 32 61 63 65 69 6f 73 74"),
-    (6, "20 25 2d 2e 2f 33 34 35 36 37 38 39 3d 41 5f 62 64 66 67 68 6c 6d 6e 70 72 75"),
-    (7, "3a 42 43 44 45 46 47 48 49 4a 4b 4c 4d 4e 4f 50 51 52 53 54 55 56 57 59 6a 6b 71 76 77 78 79 7a"),
-    (8, "26 2a 2c 3b 58 5a"),
-    (10, "21 22 28 29 3f"),
-    (11, "27 2b 7c"),
-    (12, "23 3e"),
-    (13, "00 24 40 5b 5d 7e"),
-    (14, "5e 7d"),
-    (15, "3c 60 7b"),
-    (19, "5c c3 d0"),
-    (20, "80 82 83 a2 b8 c2 e0 e2"),
-    (21, "99 a1 a7 ac b0 b1 b3 d1 d8 d9 e3 e5 e6"),
-    (22, "81 84 85 86 88 92 9a 9c a0 a3 a4 a9 aa ad b2 b5 b9 ba bb bd be c4 c6 e4 e8 e9"),
-    (23, "01 87 89 8a 8b 8c 8d 8f 93 95 96 97 98 9b 9d 9e a5 a6 a8 ae af b4 b6 b7 bc bf c5 e7 ef"),
-    (24, "09 8e 90 91 94 9f ab ce d7 e1 ec ed"),
-    (25, "c7 cf ea eb"),
-    (26, "c0 c1 c8 c9 ca cd d2 d5 da db ee f0 f2 f3 ff"),
-    (27, "cb cc d3 d4 d6 dd de df f1 f4 f5 f6 f7 f8 fa fb fc fd fe"),
-    (28, "02 03 04 05 06 07 08 0b 0c 0e 0f 10 11 12 13 14 15 17 18 19 1a 1b 1c 1d 1e 1f 7f dc f9"),
-    (30, "0a 0d 16"),
+    13, 23, 28, 28, 28, 28, 28, 28, 28, 24, 30, 28, 28, 30, 28, 28,
+    28, 28, 28, 28, 28, 28, 30, 28, 28, 28, 28, 28, 28, 28, 28, 28,
+     6, 10, 10, 12, 13, 6, 8, 11, 10, 10, 8, 11, 8, 6, 6, 6,
+     5, 5, 5, 6, 6, 6, 6, 6, 6, 6, 7, 8, 15, 6, 12, 10,
+    13, 6, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7, 7,
+     7, 7, 7, 7, 7, 7, 7, 7, 8, 7, 8, 13, 19, 13, 14, 6,
+    15, 5, 6, 5, 6, 5, 6, 6, 6, 5, 7, 7, 6, 6, 6, 5,
+     6, 7, 6, 5, 5, 6, 7, 7, 7, 7, 7, 15, 11, 14, 13, 28,
+    20, 22, 20, 20, 22, 22, 22, 23, 22, 23, 23, 23, 23, 23, 24, 23,
+    24, 24, 22, 23, 24, 23, 23, 23, 23, 21, 22, 23, 22, 23, 23, 24,
+    22, 21, 20, 22, 22, 23, 23, 21, 23, 22, 22, 24, 21, 22, 23, 23,
+    21, 21, 22, 21, 23, 22, 23, 23, 20, 22, 22, 22, 23, 22, 22, 23,
+    26, 26, 20, 19, 22, 23, 22, 25, 26, 26, 26, 27, 27, 26, 24, 25,
+    19, 21, 26, 27, 27, 26, 27, 24, 21, 21, 26, 26, 28, 27, 27, 27,
+    20, 24, 20, 21, 22, 21, 21, 23, 22, 22, 25, 25, 24, 24, 26, 23,
+    26, 27, 26, 26, 27, 27, 27, 27, 27, 28, 27, 27, 27, 27, 27, 26,
 )
 
 
-def h2_lengths() -> list[int]:
-    out = [0] * 256
-    for bits, names in H2_LENGTHS:
-        for b in names.split():
-            out[int(b, 16)] = bits
-    return out
-
-
-def _name(col: Column | str) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
+@cache
+def h2_code() -> buffers.HuffmanCode:
+    """RFC 7541's string Huffman code: canonical over the code lengths."""
+    return buffers.HuffmanCode(list(H2_LENGTHS))
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once for each row; inside lambdas an expression would be computed again for
-    each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-
-def byte_array(payload: Column | str) -> Column:
-    """The bytes as an array of integers from 0 to 255, in one pass."""
-    return F.transform(F.regexp_extract_all(F.hex(_name(payload)), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+def h2_codes() -> list[str]:
+    """The bits of each byte's code."""
+    code = h2_code()
+    return [f"{c:0{n}b}" for c, n in zip(code.codes.tolist(), H2_LENGTHS, strict=True)]
 
 
-def from_byte_array(values: Column) -> Column:
-    """A BINARY of integers from 0 to 255."""
-    return F.unhex(F.array_join(F.transform(values, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+def _name(col: Column | str) -> Column:
+    return F.col(col) if isinstance(col, str) else col
 
 
 def detect(payload: Column | str) -> Column:
@@ -86,113 +76,69 @@ def detect(payload: Column | str) -> Column:
     return out.when(sit, "arsenic").when(zlib, "zlib")
 
 
-def adler32(payload: Column | str) -> Column:
-    """Adler-32, as an unsigned number. The two sums are reduced at each byte, so payloads of any length fit."""
-    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = (acc["a"] + x) % 65521
-        return F.struct(a.alias("a"), ((acc["b"] + a) % 65521).alias("b"))
-
-    return F.aggregate(byte_array(payload), start, step, lambda s: s["b"] * 65536 + s["a"])
-
-
-def delta(payload: Column | str, distance: int = 1) -> Column:
-    """Each byte less the byte ``distance`` before it, modulo 256; the bytes before the first count as zero."""
+def _distance(distance: int) -> int:
     if not 1 <= distance <= 256:
         raise ValueError("Unsupported: the distance is from 1 to 256")
+    return distance
 
-    def body(b: Column) -> Column:
-        before = F.slice(F.concat(F.array_repeat(F.lit(0), distance), b), F.lit(1), F.size(b))
-        return from_byte_array(F.zip_with(b, before, lambda x, y: F.pmod(x - y, F.lit(256))))
 
-    return let(byte_array(payload), body)
+def adler32(payload: Column | str) -> Column:
+    """Adler-32, as an unsigned number."""
+    return buffers.measure(buffers.adler32, pa.int64(), "long")(payload)
 
 
-def _runs(payload: Column | str, most: int = 255) -> Column:
-    """The runs of equal bytes as hexadecimal strings, longer ones cut after ``most`` bytes."""
-    return F.regexp_extract_all(F.hex(_name(payload)), F.lit(rf"(..)\1{{0,{most - 1}}}"), F.lit(0))
+def delta(payload: Column | str, distance: int = 1) -> Column:
+    """Each byte less the byte ``distance`` before it, modulo 256; the bytes before the first count as zero."""
+    back = _distance(distance)
+    return buffers.encoder(lambda data, offsets: buffers.delta(data, offsets, back))(payload)
 
 
-def _count(run: Column) -> Column:
-    return F.lpad(F.hex((F.length(run) / 2).cast("int")), 2, "0")
+def undelta(payload: Column | str, distance: int = 1, max_output: int | None = None) -> Column:
+    """``STRUCT<data, error>``: the inverse of ``delta`` with this distance."""
+    back = _distance(distance)
+    return buffers.decoder(lambda data, offsets, most: buffers.undelta(data, offsets, most, back), max_output)(payload)
 
 
 def rle(payload: Column | str) -> Column:
     """``[count][byte]`` pairs, counts from 1 to 255; longer runs take several pairs."""
-    return F.unhex(F.array_join(F.transform(_runs(payload), lambda r: F.concat(_count(r), F.substring(r, 1, 2))), ""))
+    return buffers.encoder(buffers.rle)(payload)
 
 
-def rle90(payload: Column | str) -> Column:
-    """``byte 90 n`` for runs of three and more (``n`` copies in all), the byte itself else; ``90 00`` is the byte 0x90."""
+def unrle(payload: Column | str, max_output: int | None = None) -> Column:
+    """``STRUCT<data, error>``: the runs expanded, or ``UnexpectedEnd`` (half a pair) or ``Corrupt`` (a count of zero)."""
+    return buffers.decoder(buffers.unrle, max_output)(payload)
 
-    def one(r: Column) -> Column:
-        byte = F.substring(r, 1, 2)
-        literal = F.when(byte == "90", "9000").otherwise(byte)
-        return F.when(F.length(r) >= 6, F.concat(literal, F.lit("90"), _count(r))).otherwise(F.repeat(literal, (F.length(r) / 2).cast("int")))
 
-    return F.unhex(F.array_join(F.transform(_runs(payload), one), ""))
+def rle90(payload: Column | str) -> Column:
+    """``byte 90 n`` for runs of three and more (``n`` copies in all), the byte itself else; ``90 00`` is the byte 0x90."""
+    return buffers.encoder(buffers.rle90)(payload)
 
 
-def unrle90(payload: Column | str) -> Column:
+def unrle90(payload: Column | str, max_output: int | None = None) -> Column:
     """``STRUCT<data, error>``: ``Corrupt`` for a repeat without a byte before it, ``UnexpectedEnd`` for a 0x90 at the end."""
-
-    def body(digits: Column) -> Column:
-        pattern = r"(9000|(?!90)..)((?:90(?!00)..)*)"
-        part = lambda k: F.regexp_extract_all(digits, F.lit(pattern), F.lit(k))
-        # Each repeat adds its count less one; as many times as it stands there.
-        repeats = lambda r: F.aggregate(F.regexp_extract_all(r, F.lit("90(..)"), F.lit(1)), F.lit(1), lambda n, x: n + F.conv(x, 16, 10).cast("int") - 1)
-        data = F.unhex(F.array_join(F.zip_with(part(1), part(2), lambda b, r: F.repeat(F.substring(b, 1, 2), repeats(r))), ""))
-        read = F.aggregate(part(0), F.lit(0), lambda n, x: n + F.length(x))
-        error = F.when(digits.rlike("^90(?!00)..") , "Corrupt").when(read < F.length(digits), "UnexpectedEnd")
-        return F.when(digits.isNotNull(), F.struct(F.when(error.isNull(), data).alias("data"), error.alias("error")))
-
-    return let(F.hex(_name(payload)), body)
+    return buffers.decoder(buffers.unrle90, max_output)(payload)
 
 
 def packbits(payload: Column | str) -> Column:
     """Runs of 3 to 128 bytes as ``257 - n, byte``; stretches of up to 128 other bytes as ``n - 1, bytes``."""
-    pieces = F.regexp_extract_all(F.hex(_name(payload)), F.lit(r"(..)\1{2,127}|(?:(?!(..)\2\2)..){1,128}"), F.lit(0))
+    return buffers.encoder(buffers.packbits)(payload)
 
-    def one(piece: Column) -> Column:
-        n = (F.length(piece) / 2).cast("int")
-        run = piece.rlike(r"^(..)\1\1")
-        control = F.lpad(F.hex(F.when(run, F.lit(257) - n).otherwise(n - 1)), 2, "0")
-        return F.concat(control, F.when(run, F.substring(piece, 1, 2)).otherwise(piece))
 
-    return F.unhex(F.array_join(F.transform(pieces, one), ""))
-
-
-def h2_codes() -> list[str]:
-    """The bits of RFC 7541's string Huffman code for each byte: canonical over the code lengths."""
-    lengths, out, code, width = h2_lengths(), [""] * 256, 0, 0
-    for n, b in sorted((n, b) for b, n in enumerate(lengths)):
-        code <<= n - width
-        width = n
-        out[b] = f"{code:0{n}b}"
-        code += 1
-    return out
+def unpackbits(payload: Column | str, max_output: int | None = None) -> Column:
+    """``STRUCT<data, error>``; a control of 128 is skipped, a stretch cut short is ``UnexpectedEnd``."""
+    return buffers.decoder(buffers.unpackbits, max_output)(payload)
 
 
 def h2_huffman(payload: Column | str) -> Column:
     """A payload in RFC 7541's string Huffman code, filled up with ones."""
-    table = F.split(F.lit(",".join(h2_codes())), ",")
+    return buffers.encoder(lambda data, offsets: h2_code().encode(data, offsets))(payload)
 
-    def body(bits: Column) -> Column:
-        whole = F.concat(bits, F.substring(F.lit("1111111"), F.lit(1), F.pmod(-F.length(bits), F.lit(8)).cast("int")))
-        octets = F.regexp_extract_all(whole, F.lit("[01]{8}"), F.lit(0))
-        return F.unhex(F.array_join(F.transform(octets, lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), ""))
 
-    return let(F.array_join(F.transform(byte_array(payload), lambda b: F.get(table, b)), ""), body)
+def unh2_huffman(payload: Column | str, max_output: int | None = None) -> Column:
+    """``STRUCT<data, error>``: ``Corrupt`` for the end mark inside, filling of eight bits or more, or filling that is not ones."""
+    return buffers.decoder(lambda data, offsets, most: h2_code().decode(data, offsets, most), max_output)(payload)
 
 
-def unrle(payload: Column | str) -> Column:
-    """``STRUCT<data, error>``: the runs expanded, or ``UnexpectedEnd`` (half a pair) or ``Corrupt`` (a count of zero)."""
-    def body(digits: Column) -> Column:
-        pairs = F.regexp_extract_all(digits, F.lit("...."), F.lit(0))
-        count = lambda x: F.conv(F.substring(x, 1, 2), 16, 10).cast("int")
-        data = F.unhex(F.array_join(F.transform(pairs, lambda x: F.repeat(F.substring(x, 3, 2), count(x))), ""))
-        error = F.when(F.exists(pairs, lambda x: x.startswith("00")), "Corrupt").when(F.length(digits) % 4 == 2, "UnexpectedEnd")
-        return F.when(digits.isNotNull(), F.struct(F.when(error.isNull(), data).alias("data"), error.alias("error")))
-
-    return let(F.hex(_name(payload)), body)
+def h2_huffman_length(payload: Column | str) -> Column:
+    """The number of bytes that RFC 7541's Huffman code takes for a payload."""
+    return buffers.measure(lambda data, offsets: -(-h2_code().bits(data, offsets) // 8), pa.int64(), "long")(payload)

@@ -1,33 +1,60 @@
-"""Byte statistics and checksums of payloads as aggregates."""
+"""Byte statistics of payloads: counters are made for a whole Arrow batch and then added up."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.bytes import byte_array, h2_lengths
+from millrace.functions import buffers
 
-def byte_rows(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """``(id, byte, n)``: how often each byte occurs in each row's payload. Counting is combined before the shuffle."""
-    rows = df.select(F.col(id_col), F.explode(byte_array(payload_col)).alias("byte"))
-    return rows.groupBy(id_col, "byte").agg(F.count("*").alias("n"))
+_ENTROPY = pa.struct([("n_bytes", pa.int64()), ("distinct_bytes", pa.int64()), ("entropy_bits", pa.float64())])
 
 
 def byte_histogram(df: DataFrame, payload_col: str, *by: str) -> DataFrame:
-    """``(by..., byte, n)`` over all payloads."""
-    return df.select(*by, F.explode(byte_array(payload_col)).alias("byte")).groupBy(*by, "byte").agg(F.count("*").alias("n"))
+    """``(by..., byte, n)`` over all payloads. A batch gives a row for each group and byte that it holds, so that a hot group's
+    rows are added up before the shuffle; null payloads count as empty."""
+    rows = df.select(*by, F.col(payload_col).alias("payload"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("byte", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers.rows_of(batch.column(len(by)))
+            keys = pa.StructArray.from_arrays(batch.columns[: len(by)], batch.schema.names[: len(by)]).to_pylist() if by else [()] * batch.num_rows
+            known: dict[tuple, int] = {}
+            group = np.array([known.setdefault(tuple(k.values()) if by else (), len(known)) for k in keys], np.int64)
+            first = np.unique(group, return_index=True)[1]
+            sums = np.zeros((len(known), 256), np.int64)
+            for at, to, own, ends in buffers.in_turn(data, offsets):
+                sums += buffers.counts(own, np.repeat(group[at:to], np.diff(ends)), len(known))
+            row, byte = np.nonzero(sums)
+            columns = [c.take(pa.array(first[row])) for c in batch.columns[: len(by)]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(byte.astype(np.int32)), pa.array(sums[row, byte])], schema.names)
+
+    return rows.mapInArrow(run, schema).groupBy(*by, "byte").agg(F.sum("n").alias("n"))
+
+
+def _entropies(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    out = []
+    for k in range(0, len(offsets) - 1, 1024):
+        ends = offsets[k : k + 1025]
+        n = np.diff(ends)
+        share = buffers.counts(data[ends[0] : ends[-1]], np.repeat(np.arange(len(n)), n), len(n))
+        weighted = (share * np.log2(np.maximum(share, 1))).sum(1)
+        out.append((n, (share > 0).sum(1), np.log2(np.maximum(n, 1)) - weighted / np.maximum(n, 1)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def byte_entropy(payload: Column | str) -> Column:
+    """``STRUCT<n_bytes, distinct_bytes, entropy_bits>`` of each payload: order-0 entropy in bits a byte. Null stays null."""
+    return buffers.measure(_entropies, _ENTROPY, "n_bytes long, distinct_bytes long, entropy_bits double")(payload)
 
 
 def entropy(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """``(id, n_bytes, distinct_bytes, entropy_bits)``: order-0 entropy in bits a byte. Empty payloads have no row."""
-    counts = byte_rows(df, id_col, payload_col)
-    total = counts.groupBy(id_col).agg(F.sum("n").alias("n_bytes"), F.count("*").alias("distinct_bytes"), F.sum(F.col("n") * F.log2("n")).alias("weighted"))
-    bits = F.log2("n_bytes") - F.col("weighted") / F.col("n_bytes")
-    return total.select(id_col, "n_bytes", "distinct_bytes", bits.alias("entropy_bits"))
-
-
-def h2_huffman_length(payload):
-    """The number of bytes that RFC 7541's Huffman code takes for a payload, as a column."""
-    table = F.split(F.lit(",".join(map(str, h2_lengths()))), ",").cast("array<int>")  # one literal, folded
-    bits = F.aggregate(byte_array(payload), F.lit(0), lambda acc, b: acc + F.get(table, b))
-    return F.ceil(bits / 8).cast("long")
+    """``(id, n_bytes, distinct_bytes, entropy_bits)`` for each row; null and empty payloads have no row. There is no shuffle."""
+    rows = df.where(F.octet_length(payload_col) > 0).select(id_col, byte_entropy(payload_col).alias("found"))
+    return rows.select(id_col, "found.*")

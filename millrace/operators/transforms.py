@@ -63,11 +63,13 @@ def _unbwt(data: bytes) -> bytes | None:
         last = np.frombuffer(data[at + 8 : at + 8 + n], np.uint8)
         if not n or len(last) < n or primary >= n:
             return None
-        follow, text, k = np.argsort(last, kind="stable"), bytearray(n), primary
-        for i in range(n):
-            k = follow[k]
-            text[i] = last[k]
-        out.append(bytes(text))
+        # The way through the rotations, its known part doubled in each step.
+        jump = np.argsort(last, kind="stable")
+        way = jump[np.array([primary])]
+        while len(way) < n:
+            way = np.concatenate([way, jump[way]])
+            jump = jump[jump]
+        out.append(last[way[:n]].tobytes())
         at += 8 + n
     return b"".join(out)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import bytes as fb
-from millrace.functions.codecs import ENCODERS, decode, encode
+from millrace.functions.codecs import ENCODERS, decode, encode, skip_output
 from millrace.operators import report, stats, transforms
 from millrace.plans import registry
+from millrace.streaming import members
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +24,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw and run-length encoded sizes by language and source."""
+    docs = _documents(spark, sf_dir)
+    return report.compression_report(docs, F.col("raw"), fb.rle90("raw"), "lang", "source").drop("ratio")
+
+
+def gzip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw and gzip sizes by language and source."""
     docs = _documents(spark, sf_dir)
     return report.compression_report(docs, F.col("raw"), encode("raw", "gzip"), "lang", "source")
@@ -79,7 +89,7 @@ def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h2_huffman_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", stats.h2_huffman_length("raw").alias("h2_bytes"))
+    return _events(spark, sf_dir).select("event_id", fb.h2_huffman_length("raw").alias("h2_bytes"))
 
 
 def rle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,14 +128,76 @@ def _delta(distance: int):
 
 
 def undelta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running sum, modulo 256, inverts the delta of distance 1."""
-    rows = _events(spark, sf_dir).select("event_id", F.posexplode(fb.byte_array(fb.delta("raw", 1))).alias("pos", "byte"))
-    from pyspark.sql import Window
+    """Deltas of four distances, inverted."""
+    back = [fb.undelta(fb.delta("raw", d), d)["data"] for d in (1, 2, 7, 256)]
+    return _events(spark, sf_dir).select("event_id", *(F.md5(b).alias(f"digest_{k}") for k, b in enumerate(back)))
+
+
+def unh2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = fb.unh2_huffman(fb.h2_huffman("raw"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(back["data"]).alias("digest"), F.coalesce(back["error"], F.lit("")).alias("error"))
+
+
+def mtf_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", F.hex(transforms.mtf("raw")).alias("mtf"))
+
+
+def bwt_last_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of the transform: length, primary index, last column."""
+    return _events(spark, sf_dir).select("event_id", F.hex(transforms.bwt("raw")).alias("bwt"))
+
+
+def skip_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows the first 100 decoded bytes."""
+    rest = skip_output(encode("raw", "zstd"), "zstd", 100)
+    return _documents(spark, sf_dir).select("doc_id", F.md5(rest["data"]).alias("digest"), F.octet_length(rest["data"]).cast("long").alias("n_bytes"))
+
+
+def gzip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document in three chunks, a gzip member for each; the members in order are one file."""
+    cut = F.ceil(F.octet_length("raw") / 3).cast("int")
+    chunks = _documents(spark, sf_dir).select(F.col("doc_id").alias("stream_id"), F.posexplode(F.array(*(F.substring("raw", k * cut + 1, cut) for k in range(3)))).alias("seq", "chunk"))
+    whole = members.gzip_members(chunks).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "member"))).alias("m"))
+    back = decode(F.concat(*(F.col("m")[k]["member"] for k in range(3))), "gzip")
+    return whole.select(F.col("stream_id").alias("doc_id"), F.md5(back["data"]).alias("digest"), F.coalesce(back["error"], F.lit("")).alias("error"))
 
-    running = Window.partitionBy("event_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.select("event_id", "pos", (F.sum("byte").over(running) % 256).alias("byte"))
-    whole = summed.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("pos", "byte"))).alias("all"))
-    return whole.select("event_id", F.md5(fb.from_byte_array(F.transform("all", lambda x: x["byte"]))).alias("digest"))
+
+def _streamed(spark: SparkSession, sf_dir: str, run, back: str) -> DataFrame:
+    """The events of each user as a stream of chunks, run through Structured Streaming over a written table, decoded again."""
+    top = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    folder = f"{top}/millrace/{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.encode("props", "UTF-8").alias("chunk"))
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    chunks = events.select(
+        F.col("user_id").alias("stream_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), "chunk",
+        F.lead("event_id").over(order).isNull().alias("last"),
+    )
+    chunks.write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    query = run(source).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination()
+    pieces = spark.read.parquet(f"{folder}/out").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("p"))
+    joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["piece"])), ""))
+    out = decode(joined, back)
+    return pieces.select(F.col("stream_id").alias("user_id"), F.md5(out["data"]).alias("digest"), F.coalesce(out["error"], F.lit("")).alias("error"))
+
+
+def stream_sync_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda s: members.deflate_stream(s, end_col="last"), "deflate")
+
+
+def stream_full_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda s: members.deflate_stream(s, flush="full", end_col="last"), "deflate")
+
+
+def stream_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda s: members.buffered_stream(s, "bzip2", "last"), "bzip2")
+
+
+def window_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.encode("props", "UTF-8").alias("raw"))
+    out = members.sizes_by_window(events, "raw", codec="rle")
+    return out.select(F.unix_timestamp("start").alias("start_s"), "n_rows", "raw_bytes", "encoded_bytes")
 
 
 def mtf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +236,19 @@ def _delta_sql(d: int) -> str:
         FROM documents d LEFT JOIN moved m ON d.doc_id = m.doc_id GROUP BY d.doc_id"""
 
 
+def _crc_table() -> list[int]:
+    """What the checksum of one byte comes to, for all 256."""
+    return [zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)]
+
+
+_EVENT_BYTES = """bytes AS (SELECT event_id, n, i, CAST('0x' || x AS INT) AS b FROM (SELECT event_id, n, unnest(l) AS x, generate_subscripts(l, 1) AS i
+    FROM (SELECT event_id, regexp_extract_all(hex(encode(props)), '..') AS l, strlen(props) AS n FROM events)))"""
+_STREAMS = "SELECT user_id, md5(string_agg(props, '' ORDER BY event_id)) AS digest, '' AS error FROM events GROUP BY user_id"
+
+
 QUERIES = {
     "flagship_report": flagship_report,
+    "gzip_report": gzip_report,
     **{f"roundtrip_{c.replace('-', '_')}": _round_trip(c) for c in ENCODERS},
     "roundtrip_gzip_level1": _round_trip("gzip", 1),
     "roundtrip_zstd_level19": _round_trip("zstd", 19),
@@ -188,6 +271,15 @@ QUERIES = {
     "delta_1": _delta(1),
     "delta_4": _delta(4),
     "undelta": undelta,
+    "unh2_huffman": unh2_huffman,
+    "mtf_hex": mtf_hex,
+    "bwt_last_column": bwt_last_column,
+    "skip_bytes": skip_bytes,
+    "gzip_members": gzip_members,
+    "stream_sync_flush": stream_sync_flush,
+    "stream_full_flush": stream_full_flush,
+    "stream_buffered": stream_buffered,
+    "window_sizes": window_sizes,
     "mtf_round_trip": mtf_round_trip,
     "bwt_round_trip": bwt_round_trip,
     "output_limit": output_limit,
@@ -206,13 +298,17 @@ ORACLES = {
     "byte_histogram": f"WITH {_BYTES} SELECT lang, b AS byte, count(*) AS n FROM bytes JOIN documents USING (doc_id) GROUP BY lang, b",
     "entropy": f"""WITH {_BYTES}, c AS (SELECT doc_id, b, count(*) AS k FROM bytes GROUP BY doc_id, b)
         SELECT doc_id, CAST(sum(k) AS BIGINT) AS n_bytes, count(*) AS distinct_bytes, CAST(round((log2(sum(k)) - sum(k * log2(k)) / sum(k)) * 1000) AS BIGINT) AS entropy_bits FROM c GROUP BY doc_id""",
-    "h2_huffman_length": """WITH codes(b, bits) AS (VALUES """ + ", ".join(f"({b}, {n})" for b, n in enumerate(stats.h2_lengths())) + """),
+    "h2_huffman_length": """WITH codes(b, bits) AS (VALUES """ + ", ".join(f"({b}, {n})" for b, n in enumerate(fb.H2_LENGTHS)) + """),
         bytes AS (SELECT event_id, CAST('0x' || substr(h, 2 * i - 1, 2) AS INT) AS b FROM (SELECT event_id, h, unnest(range(1, len(h) // 2 + 1)) AS i FROM (SELECT event_id, hex(encode(props)) AS h FROM events)))
         SELECT event_id, CAST(ceil(sum(bits) / 8) AS BIGINT) AS h2_bytes FROM bytes JOIN codes USING (b) GROUP BY event_id""",
     "rle": f"WITH {_RUNS} SELECT doc_id, md5(string_agg(p, '' ORDER BY g)) AS rle_md5, CAST(sum(len(p)) // 2 AS BIGINT) AS rle_bytes FROM pairs GROUP BY doc_id",
     "rle_rollup": f"""WITH {_RUNS}, sizes AS (SELECT doc_id, sum(len(p)) // 2 AS enc FROM pairs GROUP BY doc_id)
         SELECT lang, source, count(*) AS n_rows, CAST(sum(strlen(text)) AS BIGINT) AS raw_bytes, CAST(sum(coalesce(enc, 0)) AS BIGINT) AS encoded_bytes
         FROM documents LEFT JOIN sizes USING (doc_id) GROUP BY ROLLUP (lang, source)""",
+    "flagship_report": f"""WITH {_RUNS}, pieces AS (SELECT doc_id, b, unnest(list_concat([255 for x in range(n // 255)], CASE WHEN n % 255 > 0 THEN [n % 255] ELSE [] END)) AS m FROM runs),
+        sizes AS (SELECT doc_id, sum((CASE WHEN b = 144 THEN 2 ELSE 1 END) * (CASE WHEN m >= 3 THEN 1 ELSE m END) + CASE WHEN m >= 3 THEN 2 ELSE 0 END) AS enc FROM pieces GROUP BY doc_id)
+        SELECT lang, source, count(*) AS n_rows, CAST(sum(strlen(text)) AS BIGINT) AS raw_bytes, CAST(sum(coalesce(enc, 0)) AS BIGINT) AS encoded_bytes
+        FROM documents LEFT JOIN sizes USING (doc_id) GROUP BY lang, source""",
     "rle90_size": f"""WITH {_RUNS}, pieces AS (SELECT doc_id, b, unnest(list_concat([255 for x in range(n // 255)], CASE WHEN n % 255 > 0 THEN [n % 255] ELSE [] END)) AS m FROM runs)
         SELECT doc_id, CAST(sum((CASE WHEN b = 144 THEN 2 ELSE 1 END) * (CASE WHEN m >= 3 THEN 1 ELSE m END) + CASE WHEN m >= 3 THEN 2 ELSE 0 END) AS BIGINT) AS rle90_bytes FROM pieces GROUP BY doc_id""",
     "h2_huffman": """WITH codes(b, bits) AS (VALUES """ + ", ".join(f"({b}, '{c}')" for b, c in enumerate(fb.h2_codes())) + """),
@@ -224,7 +320,30 @@ ORACLES = {
             FROM (SELECT event_id, bits, unnest(range(len(bits) // 8)) AS k FROM full_)) GROUP BY event_id""",
     "delta_1": _delta_sql(1),
     "delta_4": _delta_sql(4),
-    "undelta": "SELECT event_id, md5(props) AS digest FROM events",
+    "undelta": "SELECT event_id, " + ", ".join(f"md5(props) AS digest_{k}" for k in range(4)) + " FROM events",
+    "unh2_huffman": _DIGEST,
+    "mtf_hex": f"""WITH {_EVENT_BYTES}, prev AS (SELECT *, lag(i) OVER (PARTITION BY event_id, b ORDER BY i) AS p FROM bytes),
+        ranks AS (SELECT x.event_id, x.i, CASE WHEN any_value(x.p) IS NULL THEN any_value(x.b) + count(DISTINCT y.b) FILTER (WHERE y.b > x.b)
+            ELSE count(DISTINCT y.b) FILTER (WHERE y.i > x.p) END AS r
+            FROM prev x LEFT JOIN bytes y ON x.event_id = y.event_id AND y.i < x.i GROUP BY x.event_id, x.i)
+        SELECT event_id, string_agg(printf('%02X', r), '' ORDER BY i) AS mtf FROM ranks GROUP BY event_id""",
+    "bwt_last_column": """WITH turned AS (SELECT event_id, n, k, substr(h || h, 2 * k + 1, 2 * n) AS t, substr(h || h, 2 * ((k + n - 1) % n) + 1, 2) AS last
+            FROM (SELECT event_id, hex(encode(props)) AS h, strlen(props) AS n, unnest(range(strlen(props))) AS k FROM events)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY t, k) - 1 AS r FROM turned)
+        SELECT event_id, printf('%02X000000', any_value(n)) || printf('%02X000000', max(r) FILTER (WHERE k = 0)) || string_agg(last, '' ORDER BY r) AS bwt
+        FROM ranked GROUP BY event_id""",
+    "skip_bytes": """SELECT doc_id, md5(unhex(substr(hex(encode(text)), 201))) AS digest, greatest(strlen(text) - 100, 0) AS n_bytes FROM documents""",
+    "gzip_members": _DIGEST,
+    "stream_sync_flush": _STREAMS,
+    "stream_full_flush": _STREAMS,
+    "stream_buffered": _STREAMS,
+    "window_sizes": f"""WITH {_EVENT_BYTES}, starts AS (SELECT *, CASE WHEN lag(b) OVER w IS DISTINCT FROM b THEN 1 ELSE 0 END AS s FROM bytes WINDOW w AS (PARTITION BY event_id ORDER BY i)),
+        enc AS (SELECT event_id, 2 * CAST(sum(s) AS BIGINT) AS e FROM starts GROUP BY event_id)
+        SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start_s, count(*) AS n_rows, CAST(sum(strlen(props)) AS BIGINT) AS raw_bytes, CAST(sum(e) AS BIGINT) AS encoded_bytes
+        FROM events JOIN enc USING (event_id) GROUP BY ALL""",
+    "crc32": f"""WITH t AS (SELECT [{", ".join(map(str, _crc_table()))}] AS tbl),
+        b AS (SELECT doc_id, list_concat([4294967295::BIGINT], [CAST('0x' || x AS BIGINT) for x in regexp_extract_all(hex(encode(text)), '..')]) AS l FROM documents)
+        SELECT doc_id, xor(list_reduce(l, lambda a, x: xor(a >> 8, tbl[CAST(xor(a, x) & 255 AS INT) + 1])), 4294967295::BIGINT) AS crc FROM b, t""",
     "mtf_round_trip": "SELECT doc_id, md5(text) AS digest FROM documents",
     "bwt_round_trip": "SELECT doc_id, md5(text) AS digest FROM documents",
     "output_limit": "SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN 'ok' ELSE 'OutputLimitExceeded' END AS status, CASE WHEN strlen(text) <= 1000 THEN strlen(text) ELSE -1 END AS n_bytes FROM documents",

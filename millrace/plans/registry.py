@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.codecs import CAN_DECODE, CAN_ENCODE
+
 #: Codec names in their stable order, with the file extension of each (none where there is no usual one).
 NAMES = (
     ("rle", "rle"), ("rle90", "rle90"), ("deflate", "deflate"), ("deflate64", "deflate64"), ("zlib", "zz"),
@@ -21,14 +23,14 @@ NAMES = (
     ("bcj-arm64", "bcj-arm64"), ("bcj-ppc", "bcj-ppc"), ("bcj-sparc", "bcj-sparc"), ("bcj-ia64", "bcj-ia64"), ("bcj-riscv", "bcj-riscv"),
     ("delta", "delta"), ("crunch", "arc"), ("squeeze", "sqz"), ("squashed", "arc"),
 )
-#: Codecs whose rows this library encodes and decodes.
-WORKING = ("rle", "rle90", "packbits", "delta", "mtf", "bwt", "deflate", "zlib", "gzip", "lzma", "xz", "lzma2", "zstd", "brotli", "lz4-frame", "snappy", "bzip2")
+#: The codecs whose format has a mark at which a stream can be flushed.
+FLUSHES = ("deflate", "zlib", "gzip")
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    """``(position, name, extension, can_encode, can_decode)``; a handful of rows, so joins with it are broadcast."""
-    rows = [(k, n, e, n in WORKING or n == "h2-huffman", n in WORKING) for k, (n, e) in enumerate(NAMES)]
-    return spark.createDataFrame(rows, "position int, name string, extension string, can_encode boolean, can_decode boolean")
+    """``(position, name, extension, can_encode, can_decode, can_flush)``; a handful of rows, so joins with it are broadcast."""
+    rows = [(k, n, e, n in CAN_ENCODE, n in CAN_DECODE, n in FLUSHES) for k, (n, e) in enumerate(NAMES)]
+    return spark.createDataFrame(rows, "position int, name string, extension string, can_encode boolean, can_decode boolean, can_flush boolean")
 
 
 def with_extension(df: DataFrame, codec_col: str = "codec") -> DataFrame:

@@ -6,8 +6,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import buffers
 from millrace.functions import bytes as fb
-from millrace.functions.codecs import ENCODERS, decode, encode
+from millrace.functions.codecs import ENCODERS, decode, encode, skip_output, try_encode
 from millrace.operators import report, stats, transforms
 from millrace.plans.registry import NAMES, registry, with_extension
 from millrace.sources import files
@@ -39,7 +40,7 @@ def test_rle_and_back(rows):
     got = _one(rows, fb.rle("raw"))
     assert all(got[i] == (None if p is None else want(p)) for i, p in enumerate(PAYLOADS))
     back = _one(rows, fb.unrle(fb.rle("raw")))
-    assert all(back[i] is None if p is None else (bytes(back[i].data), back[i].error) == (p, None) for i, p in enumerate(PAYLOADS))
+    assert all(back[i].data is None if p is None else (bytes(back[i].data), back[i].error) == (p, None) for i, p in enumerate(PAYLOADS))
 
 
 def test_rle90_and_packbits_and_back(spark, rows):
@@ -61,6 +62,31 @@ def test_h2_huffman_vectors(spark):
     assert got == {0: "f1e3c2e5f23a6ba0ab90f4ff", 1: "a8eb10649cbf", 2: ""}
 
 
+def test_h2_huffman_decodes_and_rejects(spark, rows):
+    back = _one(rows, fb.unh2_huffman(fb.h2_huffman("raw")))
+    assert all((back[i] is None or back[i].data is None) if p is None else (bytes(back[i].data), back[i].error) == (p, None) for i, p in enumerate(PAYLOADS))
+    # The end mark, filling of eight ones, filling with a zero; and a whole string.
+    bad = [b"\xff\xff\xff\xff", b"\xff", b"\x1f\xff", b"\xfe", b"\x00\x00\x00\x00\x00\x01"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([*bad, bytes.fromhex("f1e3c2e5f23a6ba0ab90f4ff")])], "id long, raw binary")
+    got = _one(df, fb.unh2_huffman("raw"))
+    assert [got[i].error for i in range(6)] == ["Corrupt", "Corrupt", "Corrupt", "Corrupt", "Corrupt", None] and got[5].data == b"www.example.com"
+
+
+def test_buffers_over_slices_and_nulls():
+    import numpy as np
+    import pyarrow as pa
+
+    values = pa.array([b"zz", None, b"aaab", b"", b"\x90\x90", None, b"q" * 700], pa.binary()).slice(1)
+    data, offsets = buffers.rows_of(values)
+    assert offsets.tolist() == [0, 0, 4, 4, 6, 6, 706]
+    for there, back in ((buffers.rle, buffers.unrle), (buffers.rle90, buffers.unrle90), (buffers.packbits, buffers.unpackbits)):
+        whole = buffers._encoded(values, there)
+        cut = [there(d, o) for _, _, d, o in buffers.in_turn(data, offsets, 3)]
+        assert b"".join(d.tobytes() for d, _ in cut) == b"".join(x or b"" for x in whole.to_pylist()) and whole.null_count == 2
+        assert buffers._decoded(whole, back, 2**62).field(0).to_pylist() == values.to_pylist()
+    assert buffers.counts(np.frombuffer(b"aab", np.uint8), np.array([0, 1, 1]), 2)[1, 97] == 1
+
+
 def test_unrle_errors(spark):
     df = spark.createDataFrame([(0, b"\x00a"), (1, b"\x01"), (2, b"\x02ab")], "id long, raw binary")
     assert [_one(df, fb.unrle("raw"))[i].error for i in range(3)] == ["Corrupt", "UnexpectedEnd", "UnexpectedEnd"]
@@ -75,8 +101,16 @@ def test_delta(rows, d):
 
 def test_delta_distance_is_checked():
     for d in (0, 257):
-        with pytest.raises(ValueError, match="Unsupported"):
-            fb.delta("raw", d)
+        for one in (fb.delta, fb.undelta):
+            with pytest.raises(ValueError, match="Unsupported"):
+                one("raw", d)
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 16, 255, 256])
+def test_undelta(rows, d):
+    got = _one(rows, fb.undelta(fb.delta("raw", d), d))
+    assert all(got[i].data == p for i, p in enumerate(PAYLOADS) if p is not None) and got[0].data is None
+    assert _one(rows, fb.undelta("raw", d, max_output=100))[3].error == "OutputLimitExceeded"
 
 
 def test_checksums(rows):
@@ -110,6 +144,8 @@ def test_limits_and_damage(spark, codec):
     assert (exact.error, over.error, over.data) == (None, "OutputLimitExceeded", None)
     cut = F.substring(encode("raw", codec), 1, 20)
     assert _one(df, decode(cut, codec))[0].error in ("UnexpectedEnd", "Corrupt")
+    shorter = spark.range(1).select(*(decode(F.substring(encode(F.lit(data), codec), F.lit(1), F.length(encode(F.lit(data), codec)) - k), codec).alias(str(k)) for k in (1, 2, 3, 5, 10))).first()
+    assert all(x.data is None and x.error is not None for x in shorter)
     junk = _one(df, decode(F.lit(b"\xff" * 300), codec))[0]
     assert junk.error is not None
 
@@ -123,6 +159,55 @@ def test_trailing_bytes(spark):
     assert [got[k].error for k in (4, 5)] == ["Unsupported", "Unsupported"]
 
 
+def test_error_kinds(spark):
+    import zstandard
+
+    whole = bytearray(gzip.compress(b"payload" * 9))
+    changed = lambda at: bytes(whole[:at] + bytes([whole[at] ^ 1]) + whole[at + 1 :])
+    plain = zstandard.ZstdCompressor(write_content_size=False, write_checksum=True).compress(b"x" * 5000)
+    wrong = plain[:-1] + bytes([plain[-1] ^ 1])
+    cases = [
+        ("gzip", changed(len(whole) - 1), "TrailerMismatch"), ("gzip", changed(len(whole) - 8), "ChecksumMismatch"), ("gzip", changed(0), "BadHeader"), ("gzip", changed(2), "BadHeader"),
+        ("gzip", b"\x1f\x8b\x08\xe0" + bytes(whole[4:]), "Unsupported"), ("zlib", b"\x78\x9d\x00", "BadHeader"), ("zlib", b"\x79\x9c\x00", "BadHeader"), ("zlib", b"\x78\xbb\x00", "Unsupported"),
+        ("deflate", b"\x07", "InvalidBlockType"), ("bzip2", b"BZx9aaaa", "BadHeader"), ("xz", b"nothing like it", "BadHeader"), ("zstd", b"abcdefgh", "BadHeader"),
+        ("zstd", b"\x28\xb5\x2f\xfd\x00", "UnexpectedEnd"), ("zstd", wrong, "ChecksumMismatch"), ("lz4-frame", b"nothing like it", "BadHeader"), ("brotli", b"", "UnexpectedEnd"),
+        *(("zstd", plain[:-k], "UnexpectedEnd") for k in (1, 2, 3, 10)), ("zstd", plain * 2, None), ("zstd", plain + b"junk", None),
+    ]
+    df = spark.createDataFrame([(k, c, bytes(b)) for k, (c, b, _) in enumerate(cases)], "id long, codec string, raw binary")
+    got = _one(df, decode("raw", F.col("codec")))
+    assert [got[k].error for k in range(len(cases))] == [e for *_, e in cases] and got[len(cases) - 1].data == b"x" * 5000
+
+
+def test_unknown_codecs_never_lose_a_payload(spark, rows, tmp_path):
+    for name in ("nope", "lzw", ""):
+        with pytest.raises(ValueError, match="Unsupported"):
+            encode("raw", name)
+    named = spark.createDataFrame([(1, "nope", b"x"), (2, "gzip", b"x"), (3, None, b"x"), (4, "nope", None)], "id long, codec string, raw binary")
+    with pytest.raises(Exception, match="Unsupported"):
+        named.select(encode("raw", F.col("codec"))).collect()
+    tried = _one(named, try_encode("raw", F.col("codec")))
+    assert [tried[k].error for k in (1, 2, 3, 4)] == ["Unsupported", None, "Unsupported", None] and gzip.decompress(tried[2].data) == b"x"
+    for column in ("codec", "RAW_BYTES"):
+        with pytest.raises(ValueError, match="columns named"):
+            files.write_encoded(rows.withColumn(column, F.lit(1)), "raw", "gzip", str(tmp_path / "t"))
+    files.write_encoded(rows.withColumnRenamed("id", "error"), "raw", "gzip", str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="columns named"):
+        files.read_encoded(spark, str(tmp_path / "t"), "raw")
+
+
+def test_skip_output(rows):
+    got = _one(rows, skip_output(encode("raw", "gzip"), "gzip", 700))
+    assert all(got[i].data == p[700:] for i, p in enumerate(PAYLOADS) if p is not None) and got[0] is None
+
+
+def test_write_decoded(spark, rows, tmp_path):
+    coded = rows.where("raw is not null").withColumn("raw", encode("raw", "xz"))
+    files.write_decoded(coded, "raw", "xz", str(tmp_path / "t"))
+    assert {r.id: r.raw for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {i: p for i, p in enumerate(PAYLOADS) if p is not None}
+    with pytest.raises(Exception, match="UnexpectedEnd"):
+        files.write_decoded(coded.withColumn("raw", F.expr("substring(raw, 1, length(raw) - 1)")), "raw", "xz", str(tmp_path / "u"))
+
+
 def test_transforms(rows):
     for there, back in ((transforms.mtf, transforms.unmtf), (lambda c: transforms.bwt(c, 100), transforms.unbwt)):
         got = _one(rows, back(there("raw")))
@@ -131,9 +216,9 @@ def test_transforms(rows):
 
 
 def test_h2_length(spark):
-    assert sum(2.0**-n for n in stats.h2_lengths()) < 1 and sum(1 for n in stats.h2_lengths() if n) == 256
+    assert sum(2.0**-n for n in fb.H2_LENGTHS) < 1 and len(fb.H2_LENGTHS) == 256 and min(fb.H2_LENGTHS) == 5
     df = spark.createDataFrame([(0, b"www.example.com"), (1, b""), (2, b"no-cache")], "id long, raw binary")
-    assert _one(df, stats.h2_huffman_length("raw")) == {0: 12, 1: 0, 2: 6}
+    assert _one(df, fb.h2_huffman_length("raw")) == {0: 12, 1: 0, 2: 6}
 
 
 def test_registry(spark):
@@ -152,9 +237,10 @@ def test_registry_names_what_encodes_and_decodes(spark, rows, tmp_path):
     df = rows.union(spark.createDataFrame([(100 + i, p) for i, p in enumerate(more)], rows.schema)).where("raw is not null")
     want = {i: p for i, p in enumerate(PAYLOADS) if p is not None} | {100 + i: p for i, p in enumerate(more)}
     both = [r.name for r in known if r.can_encode and r.can_decode]
-    assert {"rle", "rle90", "packbits", "delta", "mtf", "bwt"} <= set(both)
-    named = df.crossJoin(F.broadcast(spark.createDataFrame([(r.name,) for r in known], "name string")))
-    coded = named.withColumn("x", encode("raw", F.col("name"))).localCheckpoint()
+    assert {"rle", "rle90", "packbits", "delta", "mtf", "bwt", "h2-huffman"} <= set(both)
+    named = df.withColumn("name", F.explode(F.array(*(F.lit(r.name) for r in known))))
+    named.withColumn("x", try_encode("raw", F.col("name"))["data"]).write.parquet(str(tmp_path / "coded"))
+    coded = spark.read.parquet(str(tmp_path / "coded"))
     assert {r.name for r in coded.where("x is not null").select("name").distinct().collect()} == {r.name for r in known if r.can_encode}
     got = coded.withColumn("b", decode("x", F.col("name"))).where(F.col("name").isin(both)).collect()
     assert len(got) == len(both) * len(want) and all((r.b.data, r.b.error) == (want[r.id], None) for r in got)
@@ -186,17 +272,19 @@ def test_files(spark, tmp_path):
     assert (back.raw, back.error, back.raw_bytes) == (b"x" * 99, None, 99)
     with pytest.raises(Exception, match="exist"):
         files.write_encoded(df, "raw", "zstd", str(tmp_path / "t"))
-    named = files.encoded_name(spark, spark.createDataFrame([("d/f",)], "p string"), "p", "zstd").select("*", files.decoded_name("out_path", "zst").alias("back")).first()
-    assert (named.out_path, named.back) == ("d/f.zst", "d/f")
+    named = spark.createDataFrame([("d/f",)], "p string").select(files.encoded_name("p", "zstd").alias("z"), files.encoded_name("p", "h2-huffman").alias("h"))
+    assert tuple(named.select("z", "h", files.decoded_name("z", "zstd"), files.decoded_name("h", "zstd")).first()) == ("d/f.zst", "d/f", "d/f", None)
+    with pytest.raises(ValueError, match="Unsupported"):
+        files.encoded_name("p", "nope")
 
 
 def test_read_files_has_the_callers_cap(spark, tmp_path):
     (tmp_path / "a.gz").write_bytes(gzip.compress(b"x" * 1000))
-    large = files.MAX_OUTPUT + 1
+    large = (64 << 20) + 1
     (tmp_path / "b.gz").write_bytes(gzip.compress(b"\0" * large))
     sized = lambda most, glob: files.read_files(spark, str(tmp_path), glob=glob, max_output=most).select(F.length("data"), "error").first()
     assert tuple(sized(1000, "a.gz")) == (1000, None) and tuple(sized(999, "a.gz")) == (None, "OutputLimitExceeded")
-    assert tuple(sized(large, "b.gz")) == (large, None) and tuple(sized(large - 1, "b.gz")) == (None, "OutputLimitExceeded")
+    assert tuple(sized(large, "b.gz")) == (large, None) and tuple(sized(large - 1, "b.gz")) == (None, "OutputLimitExceeded") and tuple(sized(None, "b.gz")) == (large, None)
 
 
 def test_gzip_members_join(spark):
@@ -205,21 +293,42 @@ def test_gzip_members_join(spark):
     assert gzip.decompress(b"".join(parts)) == b"".join(b"part%d" % k for k in range(5))
 
 
-@pytest.mark.parametrize("flush", ["sync", "full"])
-def test_deflate_stream(spark, tmp_path, flush):
-    schema = "stream_id string, seq long, chunk binary"
-    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
-    for k in range(3):
-        spark.createDataFrame([("s", 2 * k + j, b"the same text again %d" % k) for j in range(2)], schema).coalesce(1).write.mode("append").parquet(source)
+def _streamed(spark, tmp_path, run, chunks):
+    """Runs chunks ``(stream, seq, chunk, last)``, one list for each micro-batch, and returns the rows that came out."""
+    schema, source, sink = "stream_id string, seq long, chunk binary, last boolean", str(tmp_path / "in"), str(tmp_path / "out")
+    for k, batch in enumerate(chunks):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = members.deflate_stream(stream, flush=flush).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(sink)
+    query = run(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(sink)
     query.awaitTermination(120)
-    pieces = [bytes(r.piece) for r in spark.read.parquet(sink).orderBy("seq").collect()]
-    assert len(pieces) == 6
-    text = b"".join(b"the same text again %d" % k for k in range(3) for _ in range(2))
-    assert zlib.decompressobj(-15).decompress(b"".join(pieces)) == text
+    return spark.read.parquet(sink).orderBy("stream_id", "seq", "status").collect()
+
+
+@pytest.mark.parametrize("flush", ["sync", "full"])
+def test_deflate_stream(spark, tmp_path, flush):
+    part = lambda k: b"the same text again %d" % k
+    # Numbers 4 and 5 come early, 0 comes twice.
+    order = [[0, 1], [4, 5], [3, 2, 0]]
+    rows = _streamed(spark, tmp_path, lambda s: members.deflate_stream(s, flush=flush, end_col="last"), [[("s", k, part(k), k == 5) for k in batch] for batch in order])
+    assert [(r.seq, r.status) for r in rows if r.status == "late"] == [(0, "late")]
+    pieces = [bytes(r.piece) for r in rows if r.status == "ok"]
+    whole = zlib.decompressobj(-15)
+    assert len(pieces) == 6 and whole.decompress(b"".join(pieces)) == b"".join(map(part, range(6))) and whole.eof
+    # At each boundary everything so far can be decoded.
+    for k in range(6):
+        assert zlib.decompressobj(-15).decompress(b"".join(pieces[: k + 1])) == b"".join(map(part, range(k + 1)))
     if flush == "full":
-        assert b"".join(zlib.decompressobj(-15).decompress(p) for p in pieces) == text
+        assert [zlib.decompressobj(-15).decompress(p) for p in pieces] == [part(k) for k in range(6)]
+    else:
+        assert len(pieces[1]) < len(pieces[0])
+
+
+def test_buffered_stream(spark, tmp_path):
+    chunks = [[("a", 0, b"one ", False), ("b", 1, b"y", True)], [("b", 0, b"x", False), ("a", 1, None, False)], [("a", 2, b"two", True)]]
+    rows = _streamed(spark, tmp_path, lambda s: members.buffered_stream(s, "bzip2", "last"), chunks)
+    assert [(r.stream_id, r.seq, bz2.decompress(r.piece)) for r in rows] == [("a", 2, b"one two"), ("b", 1, b"xy")]
+    with pytest.raises(ValueError, match="Unsupported"):
+        members.buffered_stream(None, "nope", "last")
 
 
 def test_sizes_by_window(spark):

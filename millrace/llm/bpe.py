@@ -27,7 +27,7 @@ from millrace.llm import bytekernels as bk
 #: The byte-level pre-tokenizer's pattern (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of words (with what Python adds to each) and pairs remembered by a task; the memory starts anew when it is full.
-WORD_BYTES = 48 << 20
+WORD_BYTES = 24 << 20
 PAIR_MEMORY = 500_000
 _WORD_COST = 240
 #: Texts up to this length are cut into words at once, longer ones run by run.
@@ -241,6 +241,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decode:
     text_at, names = docs.columns.index(text_col), schema.names
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
 
+    @bk.task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value)
         for batch in batches:
@@ -264,6 +265,7 @@ def decode(tokens: DataFrame, tokenizer_path: str, ids_col: str = "input_ids") -
     at = tokens.columns.index(ids_col)
     held = tokens.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
 
+    @bk.task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value)
         for batch in batches:

@@ -5,7 +5,10 @@ All word and line delimiters used here are ASCII, so working on bytes equals wor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,35 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
             at = to
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: Arrow's pool and the C library keep it for the next task otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def task(run: Callable) -> Callable:
+    """A function over a task's batches that leaves no memory behind. Python workers go on to other tasks and stages, whose
+    needs would add up."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            large = batch.nbytes > SLICE_BYTES
+            yield batch
+            del batch
+            if large:
+                pa.default_memory_pool().release_unused()
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(tidied(batches))
+        _give_back()
+
+    return whole
+
+
 def texts(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str | None]]]:
     """``(first row, texts)`` for runs of whole texts of about ``limit`` letters."""
     run, size, at = [], 0, 0

@@ -193,6 +193,7 @@ def find_benchmark_windows(
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_chunks)) == chunk)
         held = spark.sparkContext.broadcast(WindowSearch([(r.item, r.text) for r in part.collect()], window))
 
+        @bk.task
         def search(batches: Iterator[pa.RecordBatch], held=held, later=chunk > 0) -> Iterator[pa.RecordBatch]:
             table = held.value
             for batch in batches:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from millrace.llm import bytekernels as bk
+
 #: A tag's attributes go on to the first > that is not inside a quoted value; a quote that opens no value is a letter like others.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -268,6 +270,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     at = pages.columns.index(html_col)
 
+    @bk.task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(x.as_py()) for x in batch.column(at)]

@@ -103,6 +103,7 @@ def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, row, s == e, *bk.SpanHash(bk.LOWER[data]).pairs(s, e)
 
 
+@bk.task
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each distinct line of a run of documents, the number of documents that have it."""
     for batch in batches:
@@ -205,6 +206,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, bro
     held = spark.sparkContext.broadcast([(r.shard, bytes(r.body)) for r in shards.collect()])
     release_table(shards)
 
+    @bk.task
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Shards(n_shards, {s: _Table(body) for s, body in held.value})
         for batch in batches:
@@ -230,6 +232,7 @@ def _by_passes(docs: DataFrame, text_col: str, shards: DataFrame, n_shards: int,
         own = shards.where(F.col("shard") % n_passes == k)
         held = docs.sparkSession.sparkContext.broadcast([(r.shard, bytes(r.body)) for r in own.collect()])
 
+        @bk.task
         def note(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             table = Shards(n_shards, {s: _Table(body) for s, body in held.value})
             for batch in batches:
@@ -249,6 +252,7 @@ def _by_passes(docs: DataFrame, text_col: str, shards: DataFrame, n_shards: int,
     gone = notes.groupBy(F.col("own").alias(key)).agg(F.flatten(F.collect_list("numbers")).alias(noted))
     joined = keyed.join(gone, key, "left").select(*docs.columns, noted)
 
+    @bk.task
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = batch.column(batch.num_columns - 1).to_pylist()

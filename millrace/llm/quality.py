@@ -136,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = written(texts.join(F.broadcast(labelled_sample(wanted, "id", max_labelled)), "id").select("text", "y"))
 
+    @bk.task
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, parts, sums, seen = _places(), Numbered(words_and_marks, bucket), np.zeros(BUCKETS * WIDTH, np.int64), np.zeros(BUCKETS, bool)
         held, size, stop = [], 0, np.full(1, -1)
@@ -175,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     held = docs.sparkSession.sparkContext.broadcast(table)
 
+    @bk.task
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Numbered(words_and_marks, bucket)
         for batch in batches:
@@ -198,6 +200,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     at, held = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
+    @bk.task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, parts = held.value, Numbered(words_and_marks, bucket)
         for batch in batches:

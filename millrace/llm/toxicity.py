@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = written(texts.join(F.broadcast(wanted), "id").select("text", *(f"c{i}" for i in range(k))))
 
+    @bk.task
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in bk.texts(batch.column(0)):
@@ -154,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     names = {p: i for i, p in enumerate(sorted(set().union(*picked)))}
     own = np.array([[p in mine for p in names] for mine in picked], float).reshape(k, len(names))
 
+    @bk.task
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Numbered(with_beginnings, names.get)
         for batch in batches:
@@ -179,6 +181,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in new)])
     at, held = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(chain)
 
+    @bk.task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         parts = Numbered(with_beginnings, model.names.get)

@@ -1,15 +1,18 @@
 """Embedding near-dedup by product quantisation.
 
-Unit vectors are dealt into coarse inverted lists; the residual to the list's centre is cut into subspaces and each cut is
-replaced by the nearest of a few codewords. Every vector is also a query. It probes each list whose border with its own list
-is so near that a linked vector may lie beyond it: linked vectors differ by a small step, and of a step in any direction only
-the part across the border counts, with a standard deviation of the step's length over the square root of the width
-(``probe_sigmas`` of them are allowed for; with ``sqrt(width)`` of them or more nothing is left to chance). In a list, distances between the query and the codes are sums of table
-entries (asymmetric: the query is not quantised); with the known coding error of each vector they bound the true distance, so no
-linked vector of a probed list is lost. What passes is ranked again by the exact cosine, in double precision.
-
-The centres and codewords are fitted on a bounded sample (``max_sample``); every vector is indexed. Equal vectors are one node
-with a weight. In a list, blocks of members meet blocks of queries; only counts and a spanning forest of the links leave a task.
+Unit vectors are dealt into coarse inverted lists, one for each pair of a centre of their first half and one of their second
+half; so a few centres make many lists, and their number grows with the number of vectors while lists keep their size. The
+residual to the list's centre is cut into subspaces and each cut is replaced by the nearest of a few codewords. Every vector is
+also a query. It probes each list whose borders with its own list are so near that a linked vector may lie beyond them: linked
+vectors differ by a small step, and of a step in any direction only the part across the borders counts, with a standard deviation
+of the step's length over the square root of the width (``probe_sigmas`` of them are allowed for; with ``sqrt(width)`` of them or
+more nothing is left to chance). In a list, distances between the query and the codes are sums of table entries (asymmetric: the
+query is not quantised); with the known coding error of each vector they bound the true distance, so no linked vector of a probed
+list is lost. What passes is ranked again by the exact cosine, in double precision.
+
+The centres and codewords are fitted on a bounded sample (``max_sample``); every vector is indexed. Equal vectors, told apart by
+128 bits, are one numbered node with a weight. In a list, blocks of members meet blocks of queries; only counts and a spanning
+forest of the links leave a task.
 """
 
 from __future__ import annotations
@@ -22,13 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected, written
+from millrace.llm import bytekernels as bk
+from millrace.llm.common import connected, release_table, written
 
 MAX_SAMPLE = 20_000
 SUBSPACES = 8
 CODEWORDS = 64
-#: Members and queries that meet in one task.
+#: Vectors for each list, on average; members and queries that meet in one task.
+LIST = 256
 BLOCK = 2048
+QUERY_BLOCK = 8192
+#: The sizes of the lists are broadcast up to so many bytes, and joined by a shuffle beyond.
+BROADCAST_BYTES = 32 << 20
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,38 +56,64 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) ->
     return centres
 
 
+def _within(centres: np.ndarray, x: np.ndarray, across: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(vector, centre, distance)``: the centres whose border with the vector's own is within ``across``."""
+    home, _ = _nearest(x, centres)
+    square = (centres**2).sum(1) - 2 * x @ centres.T
+    between = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(2), 1e-18))
+    border = np.maximum(square - square[np.arange(len(x)), home][:, None], 0) / (2 * between[home])
+    border[np.arange(len(x)), home] = 0
+    who, which = np.nonzero(border <= across)
+    return who, which, border[who, which]
+
+
 @dataclass
 class Index:
-    centres: np.ndarray  # lists x width
+    halves: list[np.ndarray]  # the centres of the first and of the second half
     words: list[np.ndarray]  # for each subspace: codewords x its width
     cuts: np.ndarray  # where the subspaces begin (and the last ends)
 
+    @property
+    def lists(self) -> int:
+        return len(self.halves[0]) * len(self.halves[1])
+
+    def centre(self, list_: np.ndarray) -> np.ndarray:
+        first, second = np.divmod(list_, len(self.halves[1]))
+        return np.concatenate([self.halves[0][first], self.halves[1][second]], axis=-1)
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The list, the codes and the coding error of each vector."""
-        home, _ = _nearest(x, self.centres)
-        rest = x - self.centres[home]
+        half = self.halves[0].shape[1]
+        home = _nearest(x[:, :half], self.halves[0])[0] * len(self.halves[1]) + _nearest(x[:, half:], self.halves[1])[0]
+        rest = x - self.centre(home)
         codes, error = np.zeros((len(x), len(self.words)), np.uint8), np.zeros(len(x))
         for m, w in enumerate(self.words):
             codes[:, m], square = _nearest(rest[:, self.cuts[m] : self.cuts[m + 1]], w)
             error += square
         return home, codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, home: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """``(vector, list)``: the lists that may hold a vector within ``radius``. A vector within it has another list
-        as its home only if the border between the two centres is within it, too."""
-        square = (self.centres**2).sum(1) - 2 * x @ self.centres.T
-        between = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(2), 0))
-        gap = square - square[np.arange(len(x)), home][:, None]
-        return np.nonzero(gap <= 2 * radius * between[home] + 1e-9)
+    def probes(self, x: np.ndarray, across: float) -> tuple[np.ndarray, np.ndarray]:
+        """``(vector, list)`` by vector: the lists that may hold a vector whose step across borders is within ``across``. A step
+        beyond the borders of both halves is at least as long as both ways together, which are at right angles."""
+        half = self.halves[0].shape[1]
+        who, first, a = _within(self.halves[0], x[:, :half], across)
+        other, second, b = _within(self.halves[1], x[:, half:], across)
+        count = np.bincount(other, minlength=len(x))
+        starts, many = np.cumsum(count) - count, count[who]
+        at = np.arange(int(many.sum())) + np.repeat(starts[who] - (np.cumsum(many) - many), many)
+        near = np.repeat(a, many) ** 2 + b[at] ** 2 <= across**2 + 1e-12
+        return np.repeat(who, many)[near], (np.repeat(first, many) * len(self.halves[1]) + second[at])[near]
 
 
 def fit(x: np.ndarray, lists: int) -> Index:
-    rng = np.random.default_rng(11)
-    centres = kmeans(x, lists, rng)
-    rest = x - centres[_nearest(x, centres)[0]]
+    rng, half = np.random.default_rng(11), (x.shape[1] + 1) // 2
+    many = max(1, round(lists**0.5))
+    halves = [kmeans(x[:, :half], many, rng), kmeans(x[:, half:], many if half < x.shape[1] else 1, rng)]
     cuts = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
-    words = [kmeans(rest[:, a:b], CODEWORDS, rng) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return Index(centres, words, cuts)
+    index = Index(halves, [], cuts)
+    rest = x - index.centre(_nearest(x[:, :half], halves[0])[0] * len(halves[1]) + _nearest(x[:, half:], halves[1])[0])
+    index.words = [kmeans(rest[:, a:b], CODEWORDS, rng) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return index
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -129,7 +163,7 @@ def _met(held, width: int, cosine: float):
         counts, links = np.zeros(len(q), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for k in range(0, len(q) if len(m) else 0, 256):
             own = q[k : k + 256]
-            rest = x[own] - index.centres[at]
+            rest = x[own] - index.centre(np.array(at))
             far = np.zeros((len(own), len(m)))
             for s, w in enumerate(index.words):
                 part = rest[:, index.cuts[s] : index.cuts[s + 1]]
@@ -166,27 +200,31 @@ def near_duplicates(
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     v = F.col(vector_col).cast(kind)
     fine = (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, v).alias("v")).withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, v).alias("v"))
+    # Two hashes by different seeds.
+    rows = rows.select("id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("key"), F.xxhash64(F.lit(7), "v").alias("key2"))
     spark = vectors.sparkSession
-    ids = written(rows.select("id", "key"))
-    nodes = written(rows.where("key is not null").groupBy("key").agg(F.first("v").alias("v"), F.count("*").alias("weight"), F.min("id").alias("first_id")))
+    ids = written(rows.select("id", "key", "key2"))
+    nodes = rows.where("key is not null").groupBy("key", "key2").agg(F.first("v").alias("v"), F.count("*").alias("weight"), F.min("id").alias("first_id"))
+    nodes = written(nodes.withColumnsRenamed({"key": "own", "key2": "own2"}).withColumn("key", F.monotonically_increasing_id()))
     n, width = nodes.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     share = min(1.0, 0.97 * max_sample / n)
     sample = nodes.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("v").toArrow()
     x = _unit(_matrix(sample.column(0).combine_chunks(), width)) if len(sample) else np.eye(1, width)
-    index = fit(x, max(1, min(int(n**0.5), len(x) // 30, 512)))
+    index = fit(x, min(n // LIST, (len(x) // 30) ** 2))
     held = spark.sparkContext.broadcast(index)
     across = float(np.sqrt(2 - 2 * cosine)) * min(1.0, probe_sigmas / width**0.5) + 1e-7
 
+    @bk.task
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 own = batch.slice(at, 2000)
                 u = _unit(_matrix(own.column(1), width))
                 home, codes, error = held.value.encode(u)
-                who, lists = held.value.probes(u, home, across)
+                who, lists = held.value.probes(u, across)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(u)))])
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns, pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
@@ -198,8 +236,10 @@ def near_duplicates(
     # Both sides of a list are cut into blocks by its measured size; each block of members meets each block of queries.
     members = coded.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("member_blocks"))
     asking = coded.select("key", F.explode("probes").alias("list"))
-    queries = asking.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_blocks"))
-    sizes = F.broadcast(written(members.join(queries, "list")))  # a row for each list, 512 at most
+    queries = asking.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+    sizes = written(members.join(queries, "list"))
+    if index.lists * 16 <= BROADCAST_BYTES:
+        sizes = F.broadcast(sizes)
     block = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), n).cast("int")
     columns = ["list", "mb", "qb", "member", "key", "weight", "v", "codes", "error"]
     as_members = (
@@ -217,14 +257,16 @@ def near_duplicates(
     counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     labels = connected(found.where("b is not null").select("a", "b"))
     named = (
-        nodes.select("key", "weight", "first_id").join(counts, "key", "left")
+        nodes.select("own", "own2", "key", "weight", "first_id").join(counts, "key", "left")
         .join(labels.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left")
-        .select("key", "first_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("comp", "key").alias("comp"))
+        .select("own", "own2", "first_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("comp", "key").alias("comp"))
     )
     named = written(named)
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    by_key = written(named.join(names, "comp").select(F.col("key").alias("own"), "n_links", "component_id"))
-    out = ids.join(by_key, F.col("key") == F.col("own"), "left")
+    by_key = written(named.join(names, "comp").select("own", "own2", "n_links", "component_id"))
+    for table in (nodes, coded, found, named):
+        release_table(table)
+    out = ids.join(by_key, (F.col("key") == F.col("own")) & (F.col("key2") == F.col("own2")), "left")
     return out.select(
         "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce(F.col("component_id") == F.col("id"), F.col("component_id").isNull()).alias("kept"),

@@ -6,6 +6,7 @@ import time
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, bytekernels, decontaminate, embedding_dedup, html_extract, line_dedup, ngram_join, quality, secrets, token_counts, toxicity
 from tests.llm import brute
@@ -221,6 +222,28 @@ class TestSecrets:
         assert added == {len(ODD) + 4}
         assert secrets.scan(df.limit(0), model).count() == 0
 
+    def test_added_kind_on_samples_kept_from_training(self, spark):
+        samples = secrets.labelled_samples(spark, 1500).withColumn("kept", F.crc32("text") % 4 == 0)
+        model = secrets.train(samples.where("not kept"))
+        kept = samples.where("kept").select("is_random", F.concat(F.lit("See "), "text", F.lit(" here.")).alias("text"), F.lit("x").alias("rest"), F.lit("y").alias("found_hex"))
+        out = secrets.scan(kept, model)
+        assert set(out.columns) >= {"rest", "found_hex", "is_random"}
+        # A digest in hexadecimal is a base span already.
+        rows = [(r.is_random, any(x.kind == "random" and x.e - x.s == len(r.text) - 10 for x in r.spans)) for r in out.collect() if not r.n_hex]
+        right, said, true = sum(a and b for a, b in rows), sum(b for _, b in rows), sum(a for a, _ in rows)
+        assert len(rows) > 400 and right >= 0.97 * true and right >= 0.97 * said
+
+    def test_many_spans_take_time_in_proportion(self, spark):
+        hexes = " ".join(hashlib.sha1(b"%d" % k).hexdigest() for k in range(4000))
+        tokens = " ".join(f"key{k}Zq9xW{k * 7919}vB3" for k in range(3000))
+        df = spark.createDataFrame([(1, hexes + " " + tokens + " " + hexes), (1, hexes)], "doc_id long, text string").repartition(2)
+        model = secrets.train(secrets.labelled_samples(spark, 300))
+        began = time.perf_counter()
+        out = secrets.scan(df, model).orderBy(F.length("text").desc()).collect()
+        assert time.perf_counter() - began < 60
+        for r in out:
+            assert [(x.s, x.kind, x.e) for x in r.base_spans] == brute.base_secrets(r.text) and len(r.base_spans) >= 4000
+
     def test_plan_has_no_python(self, spark, docs):
         model = secrets.train(secrets.labelled_samples(spark, 100))
         plan = secrets.scan(docs, model)._jdf.queryExecution().executedPlan().toString()
@@ -243,6 +266,33 @@ class TestEmbeddings:
         assert len(links) > 200
         assert sum(r.n_links for r in embedding_dedup.near_duplicates(df).collect()) >= 0.9 * 2 * len(links)
 
+    def test_recall_of_planted_links_and_growing_lists(self, spark, monkeypatch):
+        rng = np.random.default_rng(6)
+        base = rng.normal(size=(1500, 64))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        # Groups of one to twelve, near the threshold on both sides.
+        own = rng.integers(0, 1500, 6000)
+        step = rng.normal(size=(6000, 64)) * (rng.uniform(0.05, 0.3, 6000) / 8)[:, None]
+        x = (base[own] + step).astype(np.float32)
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        want = (u @ u.T >= 0.95).sum(1) - 1
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        lists = []
+        real = embedding_dedup.fit
+        monkeypatch.setattr(embedding_dedup, "fit", lambda x, n: lists.append(n) or real(x, n))
+        for size in (256, 16):
+            monkeypatch.setattr(embedding_dedup, "LIST", size)
+            got = {r.id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+            found = sum(got.values())
+            assert want.sum() > 10_000 and 0.95 * want.sum() <= found <= want.sum() and all(got[i] <= want[i] for i in got)
+        assert lists == [23, 375]
+
+    def test_repeated_ids(self, spark):
+        v = [1.0] + [0.0] * 15
+        df = spark.createDataFrame([(4, v), (4, v), (4, [0.0] + v[:-1]), (None, v), (None, None), (9, v)], "vec_id long, embedding array<double>")
+        got = sorted(((r.id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()), key=str)
+        assert got == sorted([(4, 3, 4), (4, 3, 4), (4, 0, 4), (None, 3, 4), (None, 0, None), (9, 3, 4)], key=str)
+
     def test_empty_table(self, spark):
         df = spark.createDataFrame([], "vec_id long, embedding array<float>")
         assert embedding_dedup.near_duplicates(df).count() == 0

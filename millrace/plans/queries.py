@@ -12,15 +12,18 @@ from millrace.functions import bytes as fb
 from millrace.functions.codecs import ENCODERS, decode, encode, skip_output
 from millrace.operators import report, stats, transforms
 from millrace.plans import registry
+from millrace.sources.tables import read_table, spread
 from millrace.streaming import members
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.encode("text", "UTF-8").alias("raw"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return spread(docs).select("doc_id", "lang", "source", F.encode("text", "UTF-8").alias("raw"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.encode("props", "UTF-8").alias("raw"))
+    events = read_table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    return spread(events).select("event_id", "event_type", F.encode("props", "UTF-8").alias("raw"))
 
 
 def flagship_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +169,7 @@ def _streamed(spark: SparkSession, sf_dir: str, run, back: str) -> DataFrame:
     """The events of each user as a stream of chunks, run through Structured Streaming over a written table, decoded again."""
     top = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
     folder = f"{top}/millrace/{uuid.uuid4().hex}"
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.encode("props", "UTF-8").alias("chunk"))
+    events = read_table(spark, sf_dir, "events").select("user_id", "event_id", F.encode("props", "UTF-8").alias("chunk"))
     order = Window.partitionBy("user_id").orderBy("event_id")
     chunks = events.select(
         F.col("user_id").alias("stream_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), "chunk",
@@ -195,7 +198,7 @@ def stream_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.encode("props", "UTF-8").alias("raw"))
+    events = read_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.encode("props", "UTF-8").alias("raw"))
     out = members.sizes_by_window(events, "raw", codec="rle")
     return out.select(F.unix_timestamp("start").alias("start_s"), "n_rows", "raw_bytes", "encoded_bytes")
 

@@ -10,9 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from millrace.sources.tables import read_table, spread  # noqa: F401 (for the queries and the pipeline)
 
 
 def fresh(df: DataFrame, name: str) -> str:

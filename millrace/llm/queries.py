@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read_table
+from millrace.llm.common import read_table, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -22,7 +22,7 @@ def tokenizer_path() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import bpe
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = bpe.encode(docs, tokenizer_path(), decode=True, ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -30,7 +30,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import quality
 
-    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    docs, labels = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), read_table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = quality.train(docs, labels.where(~held_out))
     return quality.score(docs, model).select(
@@ -41,7 +41,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import secrets
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = secrets.scan(docs, secrets.train(secrets.labelled_samples(spark)))
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base_spans"), 256).alias("base_sha256"),
@@ -52,13 +52,13 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import token_counts
 
-    return token_counts.limit_table(token_counts.length_histogram(read_table(spark, sf_dir, "documents"), tokenizer_path()))
+    return token_counts.limit_table(token_counts.length_histogram(spread(read_table(spark, sf_dir, "documents").select("text")), tokenizer_path()))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import toxicity
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("unwanted"), "toxic")
     scored = toxicity.score(docs, toxicity.train(docs, labels, ("unwanted", "toxic")))
     return scored.select("doc_id", "p_unwanted", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT_FROM).alias("toxic"))
@@ -67,33 +67,33 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.ngram_join import jaccard_components
 
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return jaccard_components(docs, shingle=4, percent=85).withColumnRenamed("id", "doc_id")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.embedding_dedup import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return near_duplicates(spread(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))).withColumnRenamed("id", "vec_id")
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.html_extract import extract_pages
 
-    return extract_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+    return extract_pages(spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))).drop("html")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.line_dedup import dedup_lines
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.decontaminate import contaminated, find_benchmark_windows
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = find_benchmark_windows(docs, read_table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
@@ -120,6 +120,17 @@ _KEY = _LOWER.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
+    # By the shingles that pairs share.
+    "op6_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sh AS (SELECT DISTINCT rn, array_to_string(list_slice(w, k, k + least(4, len(w)) - 1), ' ') AS s
+               FROM (SELECT rn, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS k FROM d WHERE len(w) > 0)),
+        n AS (SELECT rn, count(*) AS c FROM sh GROUP BY rn),
+        both_ AS (SELECT a.rn AS a, b.rn AS b, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.rn <> b.rn GROUP BY a.rn, b.rn),
+        links AS (SELECT a, b FROM both_ JOIN n x ON x.rn = a JOIN n y ON y.rn = b WHERE 100 * m >= 85 * (x.c + y.c - m)),
+        reach AS (SELECT rn AS a, rn AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        comp AS (SELECT a AS rn, min(w.doc_id) AS component_id FROM reach JOIN d w ON w.rn = b GROUP BY a)
+        SELECT doc_id, coalesce(c, 0) AS n_shingles, component_id FROM d JOIN comp USING (rn) LEFT JOIN n USING (rn)""",
     # By brute force over all pairs of different vectors; only for tables as small as the SQL check's.
     "op7_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT row_number() OVER () AS rn, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

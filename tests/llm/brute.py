@@ -113,3 +113,56 @@ def content_paths(found):
             score[p] *= 0.02 if mean[k] >= 140 else 0
     limit = min(0.05 * max(score.values(), default=0), sum(score.values()) / max(1, len(score)))
     return {p for p in paths if score[p] >= limit and score[p] > 0}
+
+
+def quality_score(model, text):
+    """The score of one text, sum by sum, from a model's table and weights."""
+    import math
+
+    from millrace.llm import quality
+    from millrace.llm.features import _REPEAT, words_and_marks
+
+    tokens, rows = (text or "").split(), []
+    for k, t in enumerate(tokens):
+        rows += [model.table[quality.bucket(p)] for p in words_and_marks(t)]
+        if k and t == tokens[k - 1]:
+            rows += [model.table[quality.bucket(p)] for p in words_and_marks(_REPEAT)]
+    width = model.table.shape[1]
+    x = [sum(float(r[j]) for r in rows) / max(1, len(rows)) for j in range(width)]
+    z = [(x[j] - model.mean[j]) / model.scale[j] for j in range(width)]
+    hidden = [max(0.0, sum(z[j] * model.w1[j][h] for j in range(width)) + model.b1[h]) for h in range(len(model.b1))]
+    logit = sum(h * w for h, w in zip(hidden, model.w2, strict=True)) + model.b2
+    return 1 / (1 + math.exp(-min(40, max(-40, logit / model.temperature))))
+
+
+def chain_scores(chain, text):
+    """The probabilities of one text, link by link."""
+    import math
+
+    from millrace.llm.features import _REPEAT, with_beginnings
+
+    tokens = (text or "").split()
+    parts, shared = set(), {}
+    for t in set(tokens):
+        own = with_beginnings(t)
+        parts.update(own)
+        for b in {p for p in own if p[0] == "b"}:
+            shared[b] = shared.get(b, 0) + 1
+    parts |= {"t" + b[1:] for b, n in shared.items() if n > 1}
+    if sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) * 5 >= len(tokens) > 1:
+        parts.add(_REPEAT)
+    out = []
+    for link in chain.links:
+        z = link.b + sum(link.w[chain.names[p]] for p in parts if p in chain.names) + sum(d * p for d, p in zip(link.d, out, strict=True))
+        out.append(1 / (1 + math.exp(-min(40, max(-40, z)))))
+    return out
+
+
+def template_text(html):
+    """The article of a page of the test tables, whose template is known: its heading and paragraphs."""
+    from html import unescape
+
+    inside = re.search(r"<article>(.*?)</article>", html or "", re.S)
+    pieces = re.split(r"</?(?:h1|p)\b[^>]*>", inside[1]) if inside else []
+    texts = (" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", p))).split()) for p in pieces)
+    return "\n".join(t for t in texts if t)

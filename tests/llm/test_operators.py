@@ -411,17 +411,3 @@ class TestClassifiers:
         assert toxicity.score(docs, chain).count() == len(ODD) and toxicity.score(docs.limit(0), chain).count() == 0
         none = toxicity.train(docs, labels.limit(0), ("unwanted", "toxic"))
         assert all(r.p_toxic < 0.5 for r in toxicity.score(docs, none).collect())
-
-
-
-@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-def test_queries_have_their_columns(spark):
-    from millrace.llm import queries
-
-    want = {
-        "op1_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}, "op3_secrets": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
-        "op8_html_extract": {"page_id", "url", "text", "n_chars"}, "op9_line_dedup": {"doc_id", "n_lines", "n_dropped", "kept_sha256"},
-        "op10_decontaminate": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
-    }
-    for name, columns in want.items():
-        assert set(queries.QUERIES[name](spark, SMALL).columns) >= columns

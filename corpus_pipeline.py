@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from millrace.llm.common import fresh, read_table, release_table, set_aside, written
+from millrace.llm.common import fresh, read_table, release_table, set_aside, spread, written
 from millrace.llm.queries import tokenizer_path
 
 
@@ -68,7 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     for k, (_, stage) in enumerate(STAGES):
         before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

@@ -40,6 +40,8 @@ _SEEDS = 8
 #: Signatures that a task holds before it passes them on, and those that a task brings together.
 _HELD_ROWS = 300_000
 _MET_ROWS = 1_000_000
+#: Of the groups that a node is in, the first ones that are told to its partners.
+_TOLD = 24
 _WORD = ~bk.SPACE
 
 
@@ -190,6 +192,7 @@ def _arrow(names: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _digest(n: int):
+    @bk.task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in bk.slices(batch.column(1)):
@@ -203,6 +206,7 @@ def _digest(n: int):
 def _keyed(n: int):
     """Rows ``(key, key2, text)`` of texts."""
 
+    @bk.task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in bk.slices(batch.column(0)):
@@ -231,6 +235,7 @@ def _signed(n: int, percent: int, largest: int, parts: int):
     negative part); only that one goes on to meet the others."""
     bands, most = Bands(percent, largest), min(2_000_000, max(_HELD_ROWS, 400 * parts))
 
+    @bk.task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, keys, held = [], [], 0
         for batch in batches:
@@ -273,6 +278,7 @@ def _dealt(sig: np.ndarray, key: np.ndarray, parts: int) -> Iterator[pa.RecordBa
         yield row(int(k), _packed(sig[own], key[own]))
 
 
+@bk.task
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over whole parts: rows ``(sig, key, pivot)`` that tie each node to the smallest of its signature; lone signatures go.
     A part has about ``_MET_ROWS`` signatures, each at most once for each run of documents."""
@@ -299,6 +305,7 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
+    @bk.task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n_a, n_b = (np.asarray(batch.column(k)) for k in range(4))
@@ -320,6 +327,30 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _uncovered(percent: int):
+    """The members of a block that have a partner of fitting size in another component whom they do not meet in an earlier
+    group (a row for each at most)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        comp, n, part = (table.column(c).to_numpy() for c in ("comp", "n", "part"))
+        group, low, high = (table.column(c)[0].as_py() for c in ("group", "low", "high"))
+        told = table.column("told").combine_chunks()
+        earlier, owner = np.asarray(told.flatten()), np.repeat(np.arange(len(comp)), np.asarray(told.value_lengths()))
+        earlier, owner = earlier[earlier < group], owner[earlier < group]
+        names, place = np.unique(earlier, return_inverse=True)
+        inside = np.zeros((len(comp), len(names)), np.float32)
+        inside[owner, place] = 1
+        open_, mine = np.zeros(len(comp), bool), np.flatnonzero(part == low)
+        for at in range(0, len(mine), 256):
+            i = mine[at : at + 256]
+            pair = (part == high) & (comp != comp[i][:, None]) & (_allowed(n, n[i][:, None], percent) >= 0) & (inside[i] @ inside.T == 0)
+            open_[i] |= pair.any(1)
+            open_ |= pair.any(0)
+        return table.select(["group", "low", "high", "part", "node", "comp", "n"]).filter(pa.array(open_))
+
+    return run
+
+
 def _compared(percent: int, exact: bool):
     """Compares one block of a group. First pass: the members for which the sketches leave a partner in another component
     (a row for each at most). Second pass, over those members and with their sets (``exact``): links that join components
@@ -354,7 +385,7 @@ def _compared(percent: int, exact: bool):
                         label[label == label[j]] = label[i]
         if exact:
             return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
-        return table.select(["sig", "low", "high", "part", "node", "comp"]).filter(pa.array(open_))
+        return table.select(["group", "low", "high", "part", "node", "comp"]).filter(pa.array(open_))
 
     return run
 
@@ -376,6 +407,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = _only(sets, pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = _only(sets, pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("set").alias("set_b"))
 
+    @bk.task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -400,23 +432,25 @@ def _left_open(members: DataFrame, wanted: DataFrame, labels: DataFrame, sets: D
     split = named.where("comp <> pivot_comp").select("sig").distinct()
     both = named.select("sig", "node", "comp").union(named.select("sig", "pivot_node", "pivot_comp"))
     groups = written(both.join(split, "sig", "left_semi").distinct())
-    # Sets that share one signature often share many: groups of the same members are compared once.
+    # Sets that share one signature often share many: groups of the same members are compared once,
     same = groups.groupBy("sig").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
     chosen = same.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(chosen, "sig").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
-    rows = rows.join(sets.select("node", "n", "sketch"), "node")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    by = ["sig", "low", "high"]
-    few = written(rows.groupBy(*by).applyInArrow(_compared(percent, False), "sig long, low int, high int, part int, node long, comp long"))
-    release_table(groups)
-    # And so, again, blocks with the same members left.
-    side = "part - low, low = high"
-    same = few.groupBy(*by).agg(F.count("*").alias("m"), F.expr(f"bit_xor(xxhash64(node, {side}))").alias("x"), F.expr(f"bit_xor(xxhash64(node, 1, {side}))").alias("y"))
-    chosen = same.groupBy("m", "x", "y").agg(F.min(F.struct(*by)).alias("one")).select("one.*")
-    few = written(few.join(chosen, by, "left_semi"))
-    few = few.join(_only(sets, few.select("node")), "node")
-    return few.groupBy(*by).applyInArrow(_compared(percent, True), "a long, b long").distinct()
+    chosen = written(chosen.withColumn("group", F.monotonically_increasing_id()))
+    rows = written(groups.drop("comp").join(chosen, "sig").drop("sig"))
+    # and two members in the first group that both are in, as far as they know of each other's.
+    told = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("group")), 1, _TOLD).alias("told"))
+    told = told.join(known.select("node", "comp").distinct(), "node").join(sets.select("node", "n"), "node")
+    blocks = rows.join(told, "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("blocks", "other")
+    by, member = ("group", "low", "high"), "group long, low int, high int, part int, node long, comp long"
+    first = written(blocks.groupBy(*by).applyInArrow(_uncovered(percent), member + ", n long"))
+    short = first.join(_only(sets.select("node", "sketch"), first.select("node")), "node")
+    few = written(short.groupBy(*by).applyInArrow(_compared(percent, False), member))
+    for table in (groups, chosen, rows, known):
+        release_table(table)
+    long = few.join(_only(sets, few.select("node")), "node")
+    return long.groupBy(*by).applyInArrow(_compared(percent, True), "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -464,6 +498,7 @@ def jaccard_components(
         found = keyed.join(held(unnamed), ["key", "key2"], "left_semi")
         picked = picked.union(found.dropDuplicates(["key", "key2"]).select("text"))
 
+    @bk.task
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in bk.slices(batch.column(0)):

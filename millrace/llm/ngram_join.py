@@ -31,15 +31,18 @@ from pyspark.sql import functions as F
 from millrace.llm import bytekernels as bk
 from millrace.llm.common import connected, release, release_table, written
 
-#: Members of a group that one task compares; larger groups are compared block by block.
+#: Members of a group, and bytes of their sets, that are a block; groups are compared block by block.
 BLOCK = 2048
+BLOCK_BYTES = 32 << 20
 _SKETCH_MOST = 1 << 13
 #: Keys and ids of candidates are broadcast up to this size, measured; beyond it, they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 _SEEDS = 8
-#: Signatures that a task holds before it passes them on, and those that a task brings together.
+#: Signatures that a task holds before it passes them on, and those that are brought together at a time.
 _HELD_ROWS = 300_000
 _MET_ROWS = 1_000_000
+#: Tasks that bring signatures together; each goes through its parts one by one.
+_MET_TASKS = 20_000
 #: Of the groups that a node is in, the first ones that are told to its partners.
 _TOLD = 24
 _WORD = ~bk.SPACE
@@ -280,18 +283,26 @@ def _dealt(sig: np.ndarray, key: np.ndarray, parts: int) -> Iterator[pa.RecordBa
 
 @bk.task
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over whole parts: rows ``(sig, key, pivot)`` that tie each node to the smallest of its signature; lone signatures go.
-    A part has about ``_MET_ROWS`` signatures, each at most once for each run of documents."""
-    by_part: dict[int, list[bytes]] = {}
+    """Over whole parts, one after the other: rows ``(sig, key, pivot)`` that tie each node to the smallest of its signature; lone
+    signatures go. A part has about ``_MET_ROWS`` signatures, each at most once for each run of documents."""
+
+    def tied(bodies: list[bytes]) -> pa.RecordBatch:
+        sig, key, new, pivot = _ties(*_unpacked(b"".join(bodies), 2))
+        return _arrow("sig key pivot", sig[~new], key[~new], pivot[~new])
+
+    now, bodies = -1, []
     for batch in batches:
         for part, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if part < 0:
                 yield _arrow("sig key pivot", *_unpacked(body.as_py(), 3))
-            else:
-                by_part.setdefault(part, []).append(body.as_py())
-    for part in list(by_part):
-        sig, key, new, pivot = _ties(*_unpacked(b"".join(by_part.pop(part)), 2))
-        yield _arrow("sig key pivot", sig[~new], key[~new], pivot[~new])
+                continue
+            if part != now and bodies:
+                yield tied(bodies)
+                bodies = []
+            now = part
+            bodies.append(body.as_py())
+    if bodies:
+        yield tied(bodies)
 
 
 def _allowed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -338,12 +349,17 @@ def _uncovered(percent: int):
         earlier, owner = np.asarray(told.flatten()), np.repeat(np.arange(len(comp)), np.asarray(told.value_lengths()))
         earlier, owner = earlier[earlier < group], owner[earlier < group]
         names, place = np.unique(earlier, return_inverse=True)
-        inside = np.zeros((len(comp), len(names)), np.float32)
-        inside[owner, place] = 1
         open_, mine = np.zeros(len(comp), bool), np.flatnonzero(part == low)
+        met = np.zeros((len(mine), len(comp)), bool)
+        for first in range(0, len(names), 512):
+            own = (place >= first) & (place < first + 512)
+            inside = np.zeros((len(comp), 512), np.float32)
+            inside[owner[own], place[own] - first] = 1
+            for at in range(0, len(mine), 256):
+                met[at : at + 256] |= inside[mine[at : at + 256]] @ inside.T > 0
         for at in range(0, len(mine), 256):
             i = mine[at : at + 256]
-            pair = (part == high) & (comp != comp[i][:, None]) & (_allowed(n, n[i][:, None], percent) >= 0) & (inside[i] @ inside.T == 0)
+            pair = (part == high) & (comp != comp[i][:, None]) & (_allowed(n, n[i][:, None], percent) >= 0) & ~met[at : at + 256]
             open_[i] |= pair.any(1)
             open_ |= pair.any(0)
         return table.select(["group", "low", "high", "part", "node", "comp", "n"]).filter(pa.array(open_))
@@ -427,19 +443,21 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _left_open(members: DataFrame, wanted: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among members of one signature that lie in different components."""
-    known = written(_labelled(wanted.select("key", "node"), labels))
-    named = members.join(known, "key").join(known.select(F.col("key").alias("pivot"), F.col("node").alias("pivot_node"), F.col("comp").alias("pivot_comp")), "pivot")
+    known = written(_labelled(wanted.select("key", "node", "n"), labels))
+    pivots = known.select(*(F.col(c).alias("pivot" if c == "key" else f"pivot_{c}") for c in known.columns))
+    named = members.join(known, "key").join(pivots, "pivot")
     split = named.where("comp <> pivot_comp").select("sig").distinct()
-    both = named.select("sig", "node", "comp").union(named.select("sig", "pivot_node", "pivot_comp"))
+    both = named.select("sig", "node", "n").union(named.select("sig", "pivot_node", "pivot_n"))
     groups = written(both.join(split, "sig", "left_semi").distinct())
     # Sets that share one signature often share many: groups of the same members are compared once,
-    same = groups.groupBy("sig").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
-    chosen = same.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    chosen = written(chosen.withColumn("group", F.monotonically_increasing_id()))
-    rows = written(groups.drop("comp").join(chosen, "sig").drop("sig"))
+    same = groups.groupBy("sig").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
+    chosen = same.groupBy("m", "size", "x", "y").agg(F.min("sig").alias("sig"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, 8 * F.col("size") / BLOCK_BYTES)).cast("int")
+    chosen = written(chosen.select("sig", blocks.alias("blocks"), F.monotonically_increasing_id().alias("group")))
+    rows = written(groups.join(chosen, "sig").drop("sig"))
     # and two members in the first group that both are in, as far as they know of each other's.
     told = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("group")), 1, _TOLD).alias("told"))
-    told = told.join(known.select("node", "comp").distinct(), "node").join(sets.select("node", "n"), "node")
+    told = told.join(known.select("node", "comp").distinct(), "node")
     blocks = rows.join(told, "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("blocks", "other")
@@ -476,17 +494,18 @@ def jaccard_components(
     total, largest = digest.agg(F.sum("n"), F.max("n")).first()
     bands_of = (percent, int(largest or 1))
 
-    # About as many signatures as a pair of sets may differ by, in two bands; dealt into parts that a task sorts in memory.
+    # About as many signatures as a pair of sets may differ by, in two bands; dealt into parts that are sorted in memory.
     expected = 4 * (total or 0) * (100 - percent) // (100 + percent)
-    tasks = max(1, expected // _MET_ROWS + 1)
-    signed = source.select("text").mapInArrow(_signed(shingle, *bands_of, 3 * tasks), "part int, body binary")
-    members = written(signed.repartition(tasks, "part").mapInArrow(_met, "sig long, key long, pivot long"))
+    parts = max(1, expected // _MET_ROWS + 1)
+    signed = source.select("text").mapInArrow(_signed(shingle, *bands_of, 3 * parts), "part int, body binary")
+    dealt = signed.repartition(min(parts, _MET_TASKS), "part").sortWithinPartitions("part")
+    members = written(dealt.mapInArrow(_met, "sig long, key long, pivot long"))
     release(docs.sparkSession)
 
     # The sets of the candidates, from the text of their first document.
     tied = members.select("key", "pivot").distinct()
     asked = tied.select("key").union(tied.select("pivot")).distinct()
-    wanted = written(nodes.join(asked, "key", "left_semi").select("key", "key2", "node", F.col("first_id").alias("id"), "copies"))
+    wanted = written(nodes.join(asked, "key", "left_semi").select("key", "key2", "node", "n", F.col("first_id").alias("id"), "copies"))
     size = wanted.agg(F.sum(32 + F.coalesce(F.length(F.col("id").cast("string")), F.lit(0)))).first()[0] or 0
     held = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
     picked = source.join(held(wanted.select("id").distinct()), "id", "left_semi").select("text")

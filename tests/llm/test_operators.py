@@ -46,12 +46,13 @@ def thue_morse(n):
     return one, one.translate(str.maketrans("ab", "ba"))
 
 
-@pytest.mark.parametrize("n", [1024, 2048, 4096])
-def test_hash_of_thue_morse(spark, n):
-    one, other = thue_morse(n)
-    data = np.frombuffer((one + other).encode(), np.uint8)
-    h, g = bytekernels.SpanHash(data).pairs(np.array([0, n]), np.array([n, 2 * n]))
-    assert h[0] != h[1] and g[0] != g[1] and not set(h.tolist()) & set(g.tolist())
+def test_hash_of_thue_morse(spark):
+    for n in (1024, 2048, 4096, 65536):
+        one, other = thue_morse(n)
+        data = np.frombuffer((one + other).encode(), np.uint8)
+        h, g = bytekernels.SpanHash(data).pairs(np.array([0, n]), np.array([n, 2 * n]))
+        assert h[0] != h[1] and g[0] != g[1] and not set(h.tolist()) & set(g.tolist())
+    one, other = thue_morse(2048)
     df = spark.createDataFrame([(i, other if i else one) for i in range(12)], "doc_id long, text string")
     assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).collect()} == {i: int(i > 0) for i in range(12)}
     got = {r.id: r.component_id for r in ngram_join.jaccard_components(df).collect()}

@@ -9,7 +9,7 @@ from millrace.llm import bpe
 from millrace.llm.common import written
 
 #: Lengths are dealt into blocks of so many; each block is summed by itself and offset by the blocks after it.
-BLOCK = 4096
+BLOCK = 64
 
 
 def length_histogram(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
@@ -28,7 +28,7 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     No documents, no rows.
     """
     h = written(histogram.select(F.col("n_tokens").alias("length"), "n_docs").withColumn("block", F.floor(F.col("length") / BLOCK)))
-    # Blocks are few: one for each 4096 tokens of the longest text.
+    # Blocks are few: one for each 64 tokens of the longest text at most, however many documents there are.
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     after = blocks.select(

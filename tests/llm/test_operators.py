@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, bytekernels, decontaminate, embedding_dedup, html_extract, line_dedup, ngram_join, quality, secrets, token_counts, toxicity
+from millrace.llm import bpe, bytekernels, decontaminate, embedding_dedup, features, html_extract, line_dedup, ngram_join, quality, secrets, token_counts, toxicity
 from tests.llm import brute
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -75,6 +75,19 @@ class TestBpe:
             assert r.decoded == library.decode(ids, skip_special_tokens=False)
             assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
+    def test_long_texts_run_by_run(self, library, monkeypatch):
+        texts = [*ODD, text(1, 3000) + " <|endoftext|>  " + "ab" * 5000 + "  \n\n " + text(2, 300), "x" * 70_000, " " * 5000 + "é", "<|endoftext|>" * 40, None]
+        vocabulary = bpe.Vocabulary(TOKENIZER)
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for at_once, run, memory in ((bpe._AT_ONCE, bpe._RUN, bpe.WORD_BYTES), (40, 7, 3000)):
+            monkeypatch.setattr(bpe, "_AT_ONCE", at_once)
+            monkeypatch.setattr(bpe, "_RUN", run)
+            monkeypatch.setattr(bpe, "WORD_BYTES", memory)
+            encoder = bpe.Encoder(vocabulary)
+            tokens, ends = encoder.encode(texts)
+            assert [tokens[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+            assert all(encoder.decode(np.array(w, np.uint32)).decode() == library.decode(w, skip_special_tokens=False) for w in want)
+
     def test_decode_round_trip_and_empty_table(self, spark, docs):
         back = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER).collect()
         assert all(r.decoded == (r.text or "") for r in back)
@@ -392,6 +405,29 @@ def labelled(spark):
 
 
 class TestClassifiers:
+    def test_long_texts_run_by_run(self, monkeypatch):
+        texts = [*ODD, "a a a b b", text(1, 200) + " same same same", "bomentea bomenteb other", "one\x1ctwo\u2003three"]
+        numbers: dict[str, int] = {}
+        made = lambda: features.Numbered(features.with_beginnings, lambda p: numbers.setdefault(p, len(numbers)))
+        whole = [(made().sequence(t).tolist(), made().distinct(t)) for t in texts]
+        monkeypatch.setattr(features, "_AT_ONCE", 5)
+        monkeypatch.setattr(features, "_RUN", 3)
+        monkeypatch.setattr(features, "TOKEN_MEMORY", 4)
+        assert [(made().sequence(t).tolist(), made().distinct(t)) for t in texts] == whole
+        assert numbers["t:bomen"] in whole[-2][1] and numbers["t:bomen"] not in made().distinct("bomentea bomentea")
+
+    def test_context_sums_equal_brute_force(self):
+        rng = np.random.default_rng(4)
+        texts = [rng.integers(0, 50, n) for n in (0, 1, 2, 30, 7)]
+        index, want = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.WIDTH))
+        for t in texts:
+            for i in range(len(t)):
+                for j in range(max(0, i - quality.WINDOW), min(len(t), i + quality.WINDOW + 1)):
+                    if i != j:
+                        want[t[i]] += index[t[j]]
+        flat = np.concatenate([x for t in texts for x in (t, np.full(1, -1))])
+        assert (quality._near(flat, quality._places()).reshape(want.shape) == want).all()
+
     def test_quality_on_held_out_rows(self, spark, labelled, docs):
         model = quality.train(labelled.select("doc_id", "text"), labelled.where("doc_id < 400").select("doc_id", "quality"))
         out = quality.score(labelled.where("doc_id >= 400"), model).collect()

@@ -193,6 +193,10 @@ def stream_full_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda s: members.deflate_stream(s, flush="full", end_col="last"), "deflate")
 
 
+def stream_gzip_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda s: members.deflate_stream(s, end_col="last", codec="gzip"), "gzip")
+
+
 def stream_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda s: members.buffered_stream(s, "bzip2", "last"), "bzip2")
 
@@ -281,6 +285,7 @@ QUERIES = {
     "gzip_members": gzip_members,
     "stream_sync_flush": stream_sync_flush,
     "stream_full_flush": stream_full_flush,
+    "stream_gzip_flush": stream_gzip_flush,
     "stream_buffered": stream_buffered,
     "window_sizes": window_sizes,
     "mtf_round_trip": mtf_round_trip,
@@ -339,6 +344,7 @@ ORACLES = {
     "gzip_members": _DIGEST,
     "stream_sync_flush": _STREAMS,
     "stream_full_flush": _STREAMS,
+    "stream_gzip_flush": _STREAMS,
     "stream_buffered": _STREAMS,
     "window_sizes": f"""WITH {_EVENT_BYTES}, starts AS (SELECT *, CASE WHEN lag(b) OVER w IS DISTINCT FROM b THEN 1 ELSE 0 END AS s FROM bytes WINDOW w AS (PARTITION BY event_id ORDER BY i)),
         enc AS (SELECT event_id, 2 * CAST(sum(s) AS BIGINT) AS e FROM starts GROUP BY event_id)

@@ -28,6 +28,16 @@ def read_files(spark: SparkSession, path: str, codec: str | None = None, glob: s
     return back.select("path", "codec", "back.data", "back.error")
 
 
+def encode_files(spark: SparkSession, path: str, codec: str, glob: str | None = None, level: int | None = None) -> DataFrame:
+    """``(path, out_path, data)`` for each file under ``path``: its content as one stream of ``codec``, and the path with the
+    codec's extension."""
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    files = reader.load(path).select("path", "content")
+    return files.select("path", encoded_name("path", codec).alias("out_path"), encode("content", codec, level).alias("data"))
+
+
 def _extension(codec: str) -> str:
     """The codec's extension, which ends a path; none where there is no usual one."""
     known = dict(NAMES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,27 @@ def _piece(history: bytes, data: bytes, flush: str, last: bool) -> tuple[bytes,
     return c.compress(data) + c.flush(mode), b"" if flush == "full" else (history + data)[-_WINDOW:]
 
 
+#: What stands before and after raw deflate, by container: the head, the checksum and its first value, and the
+#: trailer's layout of checksum and length.
+_CONTAINERS = {
+    "deflate": (b"", None, 0, ""),
+    "zlib": (b"\x78\x9c", zlib.adler32, 1, ">I"),
+    "gzip": (b"\x1f\x8b\x08\0\0\0\0\0\0\xff", zlib.crc32, 0, "<II"),
+}
+_KEPT = struct.Struct("<IQ")
+
+
+def _contained(kept: bytes, data: bytes, flush: str, last: bool, codec: str) -> tuple[bytes, bytes]:
+    """A piece with its container's head before the first and its trailer after the last; kept are the checksum and the length
+    so far, and the text that the next piece may refer to."""
+    head, checksum, begin, layout = _CONTAINERS[codec]
+    check, size = _KEPT.unpack(kept[: _KEPT.size]) if kept else (begin, 0)
+    piece, history = _piece(kept[_KEPT.size :], data, flush, last)
+    check, size = checksum(data, check) if checksum else 0, size + len(data)
+    trailer = struct.pack(layout, *(check, size % 2**32)[: len(layout) - 1]) if last and layout else b""
+    return (b"" if kept else head) + piece + trailer, _KEPT.pack(check, size) + history
+
+
 def _in_order(chunks: DataFrame, one, stream_col: str, seq_col: str, chunk_col: str, end_col: str | None) -> DataFrame:
     """Runs ``one(kept, data, last) -> (piece or None, kept)`` over the chunks of each stream in the order of their numbers,
     which count up from 0. A chunk that comes before its turn waits in the state; one whose turn is over has the status ``late``."""
@@ -65,18 +87,20 @@ def _in_order(chunks: DataFrame, one, stream_col: str, seq_col: str, chunk_col:
     )
 
 
-def deflate_stream(chunks: DataFrame, stream_col: str = "stream_id", seq_col: str = "seq", chunk_col: str = "chunk", flush: str = "sync", end_col: str | None = None) -> DataFrame:
-    """Raw deflate pieces of caller-chunked streams: ``(stream, seq, piece, status)``.
+def deflate_stream(chunks: DataFrame, stream_col: str = "stream_id", seq_col: str = "seq", chunk_col: str = "chunk", flush: str = "sync", end_col: str | None = None, codec: str = "deflate") -> DataFrame:
+    """Flushed pieces of caller-chunked streams, as raw deflate, zlib or gzip: ``(stream, seq, piece, status)``.
 
-    Each chunk's piece ends with a flush, so what was sent so far can be decoded. The pieces of a stream, in order, are one raw
-    deflate stream; the piece of a chunk with ``end_col`` true ends it. The numbers of a stream's chunks count up from 0: chunks
-    that come early wait until those before them are there, and a number that was compressed already gets no piece and the
-    status ``late``. The state of a stream is its last 32 KiB of text under a sync flush, nothing under a full flush, and the
-    chunks that wait.
+    Each chunk's piece ends with a flush, so what was sent so far can be decoded; a flush never writes the trailer. The pieces of a
+    stream, in order, are one stream of ``codec``; the piece of a chunk with ``end_col`` true ends it. The numbers of a stream's
+    chunks count up from 0: chunks that come early wait until those before them are there, and a number that was compressed
+    already gets no piece and the status ``late``. The state of a stream is its last 32 KiB of text under a sync flush, none
+    under a full flush, its checksum and length, and the chunks that wait.
     """
     if flush not in ("sync", "full"):
         raise ValueError("flush is sync or full")
-    return _in_order(chunks, lambda kept, data, last: _piece(kept, data, flush, last), stream_col, seq_col, chunk_col, end_col)
+    if codec not in _CONTAINERS:
+        raise ValueError(f"Unsupported: {codec} has no mark to flush at; see buffered_stream")
+    return _in_order(chunks, lambda kept, data, last: _contained(kept, data, flush, last, codec), stream_col, seq_col, chunk_col, end_col)
 
 
 def buffered_stream(chunks: DataFrame, codec: str, end_col: str, stream_col: str = "stream_id", seq_col: str = "seq", chunk_col: str = "chunk") -> DataFrame:

@@ -266,6 +266,8 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     got = {r.path.rsplit("/", 1)[1]: (r.codec, r.data, r.error) for r in files.read_files(spark, str(tmp_path)).collect()}
     assert got == {"a.gz": ("gzip", b"one", None), "b.xz": ("xz", b"two", None), "c.bin": (None, None, "Unsupported")}
+    out = files.encode_files(spark, str(tmp_path), "xz", glob="c.bin").first()
+    assert out.out_path == out.path + ".xz" and lzma.decompress(out.data) == b"plain"
     df = spark.createDataFrame([(1, b"x" * 99)], "id long, raw binary")
     files.write_encoded(df, "raw", "zstd", str(tmp_path / "t"))
     back = files.read_encoded(spark, str(tmp_path / "t"), "raw").first()
@@ -323,6 +325,18 @@ def test_deflate_stream(spark, tmp_path, flush):
         assert len(pieces[1]) < len(pieces[0])
 
 
+@pytest.mark.parametrize("codec", ["zlib", "gzip"])
+def test_flushed_containers(codec):
+    parts, kept, pieces = [b"one ", b"", b"two two two", b"three"], b"", []
+    for k, part in enumerate(parts):
+        piece, kept = members._contained(kept, part, "sync", k == 3, codec)
+        pieces.append(piece)
+        so_far = zlib.decompressobj(31 if codec == "gzip" else 15)
+        assert so_far.decompress(b"".join(pieces)) == b"".join(parts[: k + 1]) and so_far.eof == (k == 3)
+    with pytest.raises(ValueError, match="Unsupported"):
+        members.deflate_stream(None, codec="bzip2")
+
+
 def test_buffered_stream(spark, tmp_path):
     chunks = [[("a", 0, b"one ", False), ("b", 1, b"y", True)], [("b", 0, b"x", False), ("a", 1, None, False)], [("a", 2, b"two", True)]]
     rows = _streamed(spark, tmp_path, lambda s: members.buffered_stream(s, "bzip2", "last"), chunks)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from millrace.llm import bytekernels as bk
 from millrace.llm.common import release_table, written
-from millrace.llm.features import Numbered, flattened, words_and_marks
+from millrace.llm.features import Numbered, words_and_marks
 from millrace.llm.toxicity import labelled_sample
 
 MAX_LABELLED = 10_000
@@ -67,7 +67,7 @@ def _near(buckets: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
 
 def _pooled(table: np.ndarray, texts: list[str | None], parts: Numbered) -> np.ndarray:
     out = np.zeros((len(texts), WIDTH))
-    flat, ends = flattened([parts.sequence(t) for t in texts])
+    flat, ends = parts.sequences(texts)
     n = np.diff(ends)
     row = np.repeat(np.arange(len(texts)), n)
     for at in range(0, len(flat), _POOLED):
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     @bk.task
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, parts, sums, seen = _places(), Numbered(words_and_marks, bucket), np.zeros(BUCKETS * WIDTH, np.int64), np.zeros(BUCKETS, bool)
-        held, size, stop = [], 0, np.full(1, -1)
+        held, size = [], 0
 
         def settle() -> None:
             nonlocal size
@@ -155,9 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
         for batch in batches:
             for _, texts in bk.texts(batch.column(0)):
-                for text in texts:
-                    held += [parts.sequence(text), stop]
-                    size += len(held[-2]) + 1
+                flat, ends = parts.sequences(texts)
+                held.append(np.insert(flat, ends[1:], -1))
+                size += len(held[-1])
                 if size >= _SLICE // 2:
                     settle()
         if held:

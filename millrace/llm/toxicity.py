@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
             for at, texts in bk.texts(batch.column(0)):
                 names: dict[str, int] = {}
                 parts = Numbered(with_beginnings, lambda p, names=names: names.setdefault(p, len(names)))
-                flat, ends = flattened([parts.distinct(t) for t in texts])
+                flat, ends = parts.distinct(texts)
                 row = at + np.repeat(np.arange(len(texts)), np.diff(ends))
                 sums = []
                 for i in range(k):
@@ -160,8 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
         parts = Numbered(with_beginnings, names.get)
         for batch in batches:
             for at, texts in bk.texts(batch.column(0)):
-                found = [parts.distinct(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *batch.slice(at, len(texts)).columns[1:]], ["found", *batch.schema.names[1:]])
+                flat, ends = parts.distinct(texts)
+                found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([found, *batch.slice(at, len(texts)).columns[1:]], ["found", *batch.schema.names[1:]])
 
     rows = sample.mapInArrow(numbered, "found array<int>, " + ", ".join(f"c{i} double" for i in range(k))).toPandas()
     for table in (sample, counts):
@@ -187,7 +188,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "
         parts = Numbered(with_beginnings, model.names.get)
         for batch in batches:
             for first, texts in bk.texts(batch.column(at)):
-                p = model.predict(*flattened([parts.distinct(t) for t in texts]))
+                p = model.predict(*parts.distinct(texts))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, *(pa.array(p[:, i]) for i in range(p.shape[1]))], schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -409,12 +409,20 @@ class TestClassifiers:
         texts = [*ODD, "a a a b b", text(1, 200) + " same same same", "bomentea bomenteb other", "one\x1ctwo\u2003three"]
         numbers: dict[str, int] = {}
         made = lambda: features.Numbered(features.with_beginnings, lambda p: numbers.setdefault(p, len(numbers)))
-        whole = [(made().sequence(t).tolist(), made().distinct(t)) for t in texts]
+        lists = lambda flat, ends: [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        whole = lists(*made().sequences(texts)), lists(*made().distinct(texts))
+        # Each text by itself, token by token.
+        for k, t in enumerate(texts):
+            tokens, plain = (t or "").split(), []
+            for i, x in enumerate(tokens):
+                plain += [*features.with_beginnings(x), *([features._REPEAT] if i and x == tokens[i - 1] else [])]
+            assert whole[0][k] == [numbers[p] for p in plain]
         monkeypatch.setattr(features, "_AT_ONCE", 5)
         monkeypatch.setattr(features, "_RUN", 3)
-        monkeypatch.setattr(features, "TOKEN_MEMORY", 4)
-        assert [(made().sequence(t).tolist(), made().distinct(t)) for t in texts] == whole
-        assert numbers["t:bomen"] in whole[-2][1] and numbers["t:bomen"] not in made().distinct("bomentea bomentea")
+        assert (lists(*made().sequences(texts)), lists(*made().distinct(texts))) == whole
+        monkeypatch.setattr(features, "TOKEN_BYTES", 500)
+        assert lists(*made().sequences(texts)) == whole[0]
+        assert numbers["t:bomen"] in whole[1][-2] and numbers["t:bomen"] not in made().distinct(["bomentea bomentea"])[0]
 
     def test_context_sums_equal_brute_force(self):
         rng = np.random.default_rng(4)

@@ -27,7 +27,7 @@ from millrace.llm import bytekernels as bk
 #: The byte-level pre-tokenizer's pattern (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of words (with what Python adds to each) and pairs remembered by a task; the memory starts anew when it is full.
-WORD_BYTES = 24 << 20
+WORD_BYTES = 80 << 20
 PAIR_MEMORY = 500_000
 _WORD_COST = 240
 #: Texts up to this length are cut into words at once, longer ones run by run.
